@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import documented, generated
+from factweave.llm import documented, generated, tokens
 from factweave.session import table
 
 
@@ -16,5 +16,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.document_pairs(table(spark, sf_dir, "symbols")).where("origin = 'own'").select("symbol_key")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
