@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import documented, generated, leakage, tokens
+from factweave.llm import documented, generated, languages, leakage, tokens
 from factweave.session import table
 
 
@@ -24,5 +24,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages.identify(table(spark, sf_dir, "documents"), exclude=table(spark, sf_dir, "eval_items"))
+    return found.where("n_langs > 1 or label is null or label <> lang_code").select("doc_id", "lang_code")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify_segments(table(spark, sf_dir, "documents"), exclude=table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
