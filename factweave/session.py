@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 32 << 20
 
 _own: dict[int, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +55,25 @@ def default_tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once per application, for operators that run Python there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="factweave-zip-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, "factweave_package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for base, _, files in os.walk(here):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
