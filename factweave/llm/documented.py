@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.session import checkpoint, own_columns
+from factweave.session import checkpoint, own_columns, ship
 
 # Kinds that name a function or method, and those that name something else.
 FUNCTION_KINDS = frozenset("function func fn fun def method meth mth member_function constructor ctor procedure proc subroutine sub arrow_function generator getter setter closure lambda".split())
@@ -180,6 +180,7 @@ def document_pairs(symbols: DataFrame, inherit: bool = True, max_depth: int = 32
     are dropped. Empty texts are no documentation. Extra columns are ignored; an empty table gives an empty result.
     """
     cols = own_columns(symbols, "symbol_key", "symbol_id", "symbol_name", "symbol_kind", "receiver_type", "signature", "doc_comment", "symbol_content")
+    ship(cols.sparkSession)
     parsed = cols.mapInPandas(parse_batches, PARSED)
     out = ["symbol_key", "symbol_id", "signature", "code", "description"]
     if not inherit:

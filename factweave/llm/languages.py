@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.leakage import fold, item_blocks
-from factweave.session import own_columns
+from factweave.session import own_columns, ship
 
 # The languages and the names they are labelled with (codes, English and own names).
 NAMES = {
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     without any known label, gives no rows.
     """
     docs = own_columns(docs, key, text, label)
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     z, shingles = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
     types = f"{key} {docs.schema[key].dataType.simpleString()}, label string, lang_code string, confidence double, n_chars long, n_langs int"
     if not z:
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
 def identify_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.12, exclude_limit: int = 200_000) -> DataFrame:
     """key, segment_no, segment, segment_lang (null where rejected), confidence: one row per running sentence; else as identify."""
     docs = own_columns(docs, key, text, label)
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     z, shingles = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
     types = f"{key} {docs.schema[key].dataType.simpleString()}, {SEGMENTS}"
     if not z:

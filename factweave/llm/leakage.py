@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.session import own_columns
+from factweave.session import own_columns, ship
 
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESCAPE = re.compile(r"\\+(?:[nrtbfv](?![a-zA-Z]*:\\)|(?=[\"'/\\]))")
@@ -166,8 +166,8 @@ class Matcher:
             done.append((lo, hi))
             distance, _ = myers(iwords, words[lo:hi])
             best = max(best, 1 - distance / n)
-            if best < self.share:
-                # Lost separators glue words together: compare letters, with a budget of a fifth of them.
+            if best < self.share and len({p for _, p, _ in places}) >= max(2, n // 12):
+                # Lost separators glue words together: where several pieces were hit, compare letters, with a budget of a fifth of them.
                 a, b = max(0, end - place - 40), min(len(stream), end - place + len(istream) + 40)
                 letters, _ = myers(list(istream), list(stream[a:b]))
                 if letters <= len(istream) / 5:
@@ -204,7 +204,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     docs = own_columns(docs, key, text).where(F.col(text).isNotNull() & (F.col(text) != ""))
     types = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}, kind string, kept double"
-    sc = docs.sparkSession.sparkContext
+    sc = ship(docs.sparkSession).sparkContext
     found = None
     for part in item_blocks(items, item_key, item_text, block):
         shared = sc.broadcast(part)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factweave.llm import documented, generated, languages, leakage, tokens
+from factweave.llm import documented, generated, languages, leakage, neighbors, tokens
 from factweave.session import table
 
 
@@ -33,5 +34,25 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify_segments(table(spark, sf_dir, "documents"), exclude=table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
-SQL: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.similar_pairs(neighbors.most_similar(table(spark, sf_dir, "symbol_vectors")))
+
+
+def p5_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "symbol_vectors")
+    near = neighbors.with_symbols(neighbors.most_similar(vectors), vectors)
+    return near.select("vec_id", F.col("near").alias("near_id"), "symbol_id", F.round("score", 4).alias("score"), "rank")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
+
+_COSINES = """
+WITH u AS (SELECT vec_id, min(embedding) AS e, min(symbol_id) AS symbol_id FROM symbol_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+d AS (SELECT vec_id, symbol_id, CAST(e AS DOUBLE[64]) AS e FROM u),
+s AS (SELECT a.vec_id, b.vec_id AS near_id, array_cosine_similarity(a.e, b.e) AS score FROM d a JOIN d b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, near_id) AS rank FROM s)
+"""
+SQL: dict[str, str] = {
+    "p5_found": _COSINES + "SELECT DISTINCT least(vec_id, near_id) AS vec_a, greatest(vec_id, near_id) AS vec_b FROM r WHERE rank <= 5",
+    "p5_neighbors": _COSINES + "SELECT r.vec_id, near_id, n.symbol_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r LEFT JOIN (SELECT vec_id, min(symbol_id) AS symbol_id FROM symbol_vectors GROUP BY 1) n ON n.vec_id = near_id WHERE rank <= 5",
+}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.session import checkpoint, default_tasks, own_columns
+from factweave.session import checkpoint, default_tasks, own_columns, ship
 
 
 def tokenizer_dir() -> str:
@@ -81,6 +81,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name
     folder = folder or tokenizer_dir()
     docs = own_columns(docs, key, text).toDF("k", "t")
     ktype = docs.schema["k"].dataType
+    ship(docs.sparkSession)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
