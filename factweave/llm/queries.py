@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import documented, generated, languages, leakage, neighbors, tokens
+from factweave.llm import credentials, documented, generated, languages, leakage, neighbors, tokens
 from factweave.session import table
 
 
@@ -44,7 +44,25 @@ def p5_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vec_id", F.col("near").alias("near_id"), "symbol_id", F.round("score", 4).alias("score"), "rank")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
+def _both_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_key or symbol_key, the text and the path of its file, of both tables that hold code."""
+    nodes = table(spark, sf_dir, "nodes").select(F.lit("nodes").alias("place"), F.col("node_key").alias("row_key"), F.col("code").alias("text"), F.col("node_id").alias("path"))
+    symbols = table(spark, sf_dir, "symbols").select(F.lit("symbols").alias("place"), F.col("symbol_key").alias("row_key"), F.col("symbol_content").alias("text"), F.substring_index("symbol_id", ":", 1).alias("path"))
+    return nodes.unionByName(symbols)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _both_texts(spark, sf_dir).withColumn("k", F.concat_ws(":", "place", "row_key"))
+    found = credentials.find_credentials(rows, "k", "text", "path")
+    return found.select(F.substring_index("k", ":", 1).alias("place"), F.substring_index("k", ":", -1).cast("long").alias("row_key"), "start_at")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nodes").where("code is not null")
+    return credentials.redact(rows, "node_key", "code", "node_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
 
 _COSINES = """
 WITH u AS (SELECT vec_id, min(embedding) AS e, min(symbol_id) AS symbol_id FROM symbol_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
