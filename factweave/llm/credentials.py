@@ -341,6 +341,8 @@ def training_lines(n: int, seed: int) -> Iterator[tuple[str, bool, list[tuple[in
         if given < 0.4 and " " not in secret and not re.search(r"[-+/=]", secret[max(0, cut - 1) : cut + 1]):
             forms += [(f'{key} := "«{secret[:cut]}" + "{secret[cut:]}»"', False), (f"{key} = '«{secret[:cut]}' + '{secret[cut:]}»'", False)]
         line, config = r.choice(forms)
+        if given >= 0.98:
+            line, config = r.choice(["", "  ", "    "]) + f"«-----BEGIN {r.choice(['', 'RSA ', 'EC ', 'OPENSSH ', 'DSA ', 'ENCRYPTED '])}PRIVATE KEY-----»", r.random() < 0.8
         spans, out = [], ""
         for part in re.split("([«»])", line):
             if part == "«":

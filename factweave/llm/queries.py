@@ -58,8 +58,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nodes").where("code is not null")
-    return credentials.redact(rows, "node_key", "code", "node_id")
+    rows = _both_texts(spark, sf_dir).withColumn("k", F.concat_ws(":", "place", "row_key"))
+    done = credentials.redact(rows, "k", "text", "path")
+    return done.select(F.substring_index("k", ":", 1).alias("place"), F.substring_index("k", ":", -1).cast("long").alias("row_key"), "redacted", "n_found")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
