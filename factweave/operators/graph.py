@@ -55,7 +55,8 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int, until: str | None = None) -> DataFrame:
     """node, depth: what can be reached from the start nodes in at most ``depth`` steps, by least depth (start: 0)."""
-    edges = edges.select("src", "dst")
+    # More than two rounds read the edges again and again: their derivation is cut off once.
+    edges = checkpoint(edges.select("src", "dst")) if depth > 2 else edges.select("src", "dst")
     frontier = checkpoint(start.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     for d in range(1, depth + 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.text import symbol_file
+from factweave.functions.text import number_of, symbol_file
 from factweave.operators.filegraph import attributes
 from factweave.sources.store import source_slice
 
@@ -13,7 +13,7 @@ from factweave.sources.store import source_slice
 def shallow(facts: DataFrame, ids: DataFrame) -> DataFrame:
     """id, kind, language, start_line, end_line (column id of ``ids``); lines are numbers or null."""
     got = attributes(facts, ids.distinct(), ["has_kind", "has_language", "start_line", "end_line"])
-    line = lambda c: F.col(c).try_cast("double").cast("int")
+    line = lambda c: number_of(c).try_cast("int")
     return ids.distinct().join(got, "id", "left").select("id", F.col("has_kind").alias("kind"), F.col("has_language").alias("language"), line("start_line").alias("start_line"), line("end_line").alias("end_line"))
 
 

@@ -174,6 +174,7 @@ class Rules:
         self.facts = facts.select("s", "p", "o")
         self.spark = facts.sparkSession
         self.defines = self.of("defines", "file", "symbol").distinct()
+        self._reached: dict[tuple[str, bool, int], DataFrame] = {}
 
     def of(self, p: str, s: str, o: str) -> DataFrame:
         return self.facts.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
@@ -416,10 +417,17 @@ class Rules:
 
     def dependents(self, symbol: str, depth: int = 1 << 30) -> DataFrame:
         """node: everything that depends on a symbol, however far."""
-        return G.callers(self.dependencies(), symbol, depth, 1 << 30).select("node")
+        return self._reach(symbol, True, depth)
 
     def depends_on(self, symbol: str, depth: int = 1 << 30) -> DataFrame:
-        return G.callees(self.dependencies(), symbol, depth, 1 << 30).select("node")
+        return self._reach(symbol, False, depth)
+
+    def _reach(self, symbol: str, back: bool, depth: int) -> DataFrame:
+        """A traversal is done once for each symbol and direction; what it reached is kept in its checkpoints."""
+        key = (symbol, back, depth)
+        if key not in self._reached:
+            self._reached[key] = (G.callers if back else G.callees)(self.dependencies(), symbol, depth, 1 << 30).select("node")
+        return self._reached[key]
 
     def affected_files(self, symbol: str) -> DataFrame:
         return self.dependents(symbol).select(F.col("node").alias("symbol")).join(self.defines, "symbol").select("file").distinct()

@@ -6,10 +6,12 @@ the symbol's id, so both engines derive the same facts at every scale.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.session import table
-from factweave.sources.store import facts_of_refs
+from factweave.session import scratch_path, table
+from factweave.sources.store import facts_of_refs, store_by_predicate
 
 PATTERNS = "sql_concatenation raw_sql_query html_injection dom_manipulation hardcoded_password hardcoded_api_key hardcoded_token hardcoded_secret eval_execution unsafe_deserialization command_injection md5_hash sha1_hash weak_random god_class long_method deep_nesting magic_number nested_loop repeated_computation inefficient_data_structure".split()
 
@@ -59,14 +61,31 @@ things AS (SELECT DISTINCT x AS s, CAST('0x' || substr(md5(x), 1, 6) AS BIGINT)
 rf AS (SELECT s, p, o FROM facts UNION SELECT * FROM ({_union(SPECS, 'named')}) UNION SELECT * FROM ({_union(FILE_SPECS, 'things')}))"""
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A facts table that is ingested once per application and folder, partitioned by predicate, and then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        store_by_predicate(make(), path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of refs."""
-    return facts_of_refs(table(spark, sf_dir, "refs"))
+    return _once(spark, sf_dir, "facts", lambda: facts_of_refs(table(spark, sf_dir, "refs"))).select("topic", "s", "p", "o")
 
 
 def rule_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """facts plus the derived ones, as s, p, o. One pass over each set of ids: the specifications are an exploded array."""
-    base = facts(spark, sf_dir)
+    """facts plus the derived ones, as s, p, o."""
+    return _once(spark, sf_dir, "rule_facts", lambda: _rule_facts(facts(spark, sf_dir))).select("s", "p", "o")
+
+
+def _rule_facts(base: DataFrame) -> DataFrame:
+    """One pass over each set of ids: the specifications are an exploded array."""
     h = "CAST(conv(substr(md5(s), 1, 6), 16, 10) AS BIGINT) AS h"
 
     def derive(ids: DataFrame, specs: list[tuple[str, str, str, str]]) -> DataFrame:

@@ -118,9 +118,7 @@ class FactStore:
 
     def save(self, path: str) -> None:
         """Write partitioned by topic and predicate, sorted by subject within files, so scans prune on all three."""
-        spark = self.facts.sparkSession
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.facts.select("topic", "s", "p", "o").distinct().repartition(n, "topic", "p", F.pmod(F.xxhash64("s"), F.lit(16)))
+        rows = self.facts.select("topic", "s", "p", "o").distinct().hint("rebalance", "topic", "p")
         rows.sortWithinPartitions("topic", "p", "s").write.mode("overwrite").partitionBy("topic", "p").parquet(path)
 
     @staticmethod
@@ -128,6 +126,11 @@ class FactStore:
         return FactStore(spark.read.schema(schema.FACTS).parquet(path))
 
 
+def store_by_predicate(facts: DataFrame, path: str) -> None:
+    """Write facts partitioned by predicate, sorted by subject. AQE rebalances: large predicates get several files, small ones one."""
+    facts.hint("rebalance", "p").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
+
+
 def _whole(*cols: str):
     from pyspark.sql import Window
 
