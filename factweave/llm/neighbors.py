@@ -225,18 +225,22 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     def scan_block(left: pa.Table, right: pa.Table) -> pa.Table:
         m = Model(*shared.value)
         if not left.num_rows or not right.num_rows:
-            return pa.table({"home": pa.array([], pa.int32()), "qb": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
+            return pa.table({"home": pa.array([], pa.int32()), "qb": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64()))})
         qid = left.column("id").to_numpy()
         packed = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
         row, near = scan(m, qid, unit(_matrix(left.column("vec"), dim, np.float32)), right.column("id").to_numpy(), right.column("part").to_numpy(), packed, keep)
-        same = lambda c: pa.array(np.full(len(row), left.column(c)[0].as_py(), np.int32))
-        return pa.table({"home": same("home"), "qb": same("qb"), "id": pa.array(qid[row]), "near": pa.array(near)})
+        # One row a query: its candidates as a list (``row`` is in order).
+        ends = np.searchsorted(row, np.arange(len(qid) + 1))
+        same = lambda c: pa.array(np.full(len(qid), left.column(c)[0].as_py(), np.int32))
+        return pa.table({"home": same("home"), "qb": same("qb"), "id": pa.array(qid), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near, pa.int64()))})
 
     by = ["home", "qb", "cb"]
-    candidates = checkpoint(scanned.groupBy(*by).cogroup(codes.groupBy(*by)).applyInArrow(scan_block, "home int, qb int, id long, near long"))
+    candidates = checkpoint(scanned.groupBy(*by).cogroup(codes.groupBy(*by)).applyInArrow(scan_block, "home int, qb int, id long, near array<long>"))
     # A full vector goes once to every block that names it.
-    named = candidates.select("home", "qb", F.col("near").alias("id")).distinct().join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec").toDF("home", "qb", "id", "vec")
-    listed = candidates.groupBy("home", "qb", "id").agg(F.collect_list("near").alias("near")).join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec", "near").toDF("home", "qb", "id", "vec", "near")
+    named = candidates.select("home", "qb", F.explode("near").alias("id")).distinct().join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec").toDF("home", "qb", "id", "vec")
+    # A query has a list from each block of codes it was scanned against, nearly always one.
+    lists = candidates if max(c for *_, c in plan) == 1 else candidates.groupBy("home", "qb", "id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    listed = lists.join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec", "near").toDF("home", "qb", "id", "vec", "near")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         qs, ns, ss, rs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int32)]
@@ -256,7 +260,7 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         return pa.table({key: np.concatenate(qs), "near": np.concatenate(ns), "score": np.concatenate(ss), "rank": np.concatenate(rs)})
 
     found = listed.groupBy("home", "qb").cogroup(named.groupBy("home", "qb")).applyInArrow(rerank, out)
-    wanting = indexed.join(candidates.groupBy("id").agg(F.count_distinct("near").alias("n")).where(F.col("n") >= min(k, n - 1)).select("id"), "id", "left_anti").select("id", "vec")
+    wanting = indexed.join(lists.select("id", F.size(F.array_distinct("near")).alias("n")).where(F.col("n") >= min(k, n - 1)).select("id"), "id", "left_anti").select("id", "vec")
     if not wanting.isEmpty():
         # A partition with too few codes: its queries are compared with every row, exactly.
         wanting = checkpoint(wanting)
