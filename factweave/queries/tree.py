@@ -56,7 +56,7 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [agent.Step(1, "symbols of tests", 'triples(?f, "defines", ?sym), contains(?f, "_test")'), agent.Step(2, "what they call", 'triples({{step_1_sym}}, "calls", ?callee)')]
-    return agent.Plan(facts(spark, sf_dir), steps).execute()[1].result.select("callee").distinct()
+    return agent.Plan(facts(spark, sf_dir), steps).execute(lambda step, error: None)[1].result.select("callee").distinct()
 
 
 def registry_template(spark: SparkSession, sf_dir: str) -> DataFrame:
