@@ -13,6 +13,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated.find_generated(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "symbols")).select("node_key")
 
 
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.find_generated(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "symbols"))
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.document_pairs(table(spark, sf_dir, "symbols"))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented.document_pairs(table(spark, sf_dir, "symbols")).where("origin = 'own'").select("symbol_key")
 
@@ -63,7 +75,7 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.substring_index("k", ":", 1).alias("place"), F.substring_index("k", ":", -1).cast("long").alias("row_key"), "redacted", "n_found")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p1_files": p1_files, "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments}
 
 _COSINES = """
 WITH u AS (SELECT vec_id, min(embedding) AS e, min(symbol_id) AS symbol_id FROM symbol_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
