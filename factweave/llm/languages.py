@@ -83,7 +83,7 @@ def sentences(text: str) -> list[str]:
 def running(sentence: str) -> str | None:
     """The normal form of a sentence if it is one: at least four words or eight characters of a script without spaces."""
     plain = _NAME.sub(" ", sentence)
-    if len(_HAN.findall(plain)) >= 8:
+    if not plain.isascii() and len(_HAN.findall(plain)) >= 8:
         return normal(plain)
     words = _WORD.findall(plain)
     return normal(plain) if len(words) >= 4 and sum(map(len, words)) >= 16 else None
@@ -192,7 +192,7 @@ def hash_of(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-def judge(text: str, z: Compressor, margin: float, shingles: frozenset) -> list[tuple[int, str, str | None, float]]:
+def judge(text: str, z: Compressor, margin: float, shingles: frozenset, vocabulary: frozenset = frozenset()) -> list[tuple[int, str, str | None, float]]:
     """(segment number, segment, language or None, confidence) of each running sentence."""
     out = []
     for i, s in enumerate(sentences(text)):
@@ -201,7 +201,8 @@ def judge(text: str, z: Compressor, margin: float, shingles: frozenset) -> list[
             continue
         if shingles:
             w = fold(s)
-            hits = [j for j in range(len(w) - 3) if hash_of(" ".join(w[j : j + 4])) in shingles]
+            # Four words of an excluded text in a row need four words of theirs.
+            hits = [j for j in range(len(w) - 3) if hash_of(" ".join(w[j : j + 4])) in shingles] if sum(a in vocabulary for a in w) >= 4 else ()
             if hits:
                 # What stands round the excluded words may still be a sentence: an item need not be set off from the text.
                 gone = {k for j in hits for k in range(j - 3, j + 7)}
@@ -235,18 +236,18 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     """
     docs = own_columns(docs, key, text, label)
     spark = ship(docs.sparkSession)
-    z, shingles = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
+    z, shingles, vocabulary = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
     types = f"{key} {docs.schema[key].dataType.simpleString()}, label string, lang_code string, confidence double, n_chars long, n_langs int"
     if not z:
         return spark.createDataFrame([], types)
-    shared = spark.sparkContext.broadcast((z, shingles))
+    shared = spark.sparkContext.broadcast((z, shingles, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, skip = Compressor(shared.value[0]), shared.value[1]
+        c, skip, words = Compressor(shared.value[0]), shared.value[1], shared.value[2]
         for b in batches:
             rows = []
             for k, t, given in b.itertuples(index=False, name=None):
-                langs = languages_of(judge(t, c, margin, skip))
+                langs = languages_of(judge(t, c, margin, skip, words))
                 rows += [(k, given, code, conf, n, len(langs)) for code, (conf, n) in langs.items()]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in types.split(", ")])
 
@@ -257,22 +258,24 @@ def identify_segments(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """key, segment_no, segment, segment_lang (null where rejected), confidence: one row per running sentence; else as identify."""
     docs = own_columns(docs, key, text, label)
     spark = ship(docs.sparkSession)
-    z, shingles = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
+    z, shingles, vocabulary = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
     types = f"{key} {docs.schema[key].dataType.simpleString()}, {SEGMENTS}"
     if not z:
         return spark.createDataFrame([], types)
-    shared = spark.sparkContext.broadcast((z, shingles))
+    shared = spark.sparkContext.broadcast((z, shingles, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, skip = Compressor(shared.value[0]), shared.value[1]
+        c, skip, words = Compressor(shared.value[0]), shared.value[1], shared.value[2]
         for b in batches:
-            yield pd.DataFrame([(k, *s) for k, t in b.itertuples(index=False, name=None) for s in judge(t, c, margin, skip)], columns=[c.split()[0] for c in types.split(", ")])
+            yield pd.DataFrame([(k, *s) for k, t in b.itertuples(index=False, name=None) for s in judge(t, c, margin, skip, words)], columns=[c.split()[0] for c in types.split(", ")])
 
     return docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text).mapInPandas(run, types)
 
 
-def _fitted(docs: DataFrame, text: str, label: str, exclude: DataFrame | None, exclude_key: str, exclude_text: str, per_language: int, size: int, rounds: int, margin: float, exclude_limit: int) -> tuple[dict[str, bytes], frozenset]:
+def _fitted(docs: DataFrame, text: str, label: str, exclude: DataFrame | None, exclude_key: str, exclude_text: str, per_language: int, size: int, rounds: int, margin: float, exclude_limit: int) -> tuple[dict[str, bytes], frozenset, frozenset]:
+    """The dictionaries, the hashes of four successive words of the excluded texts, and their words."""
     shingles: set[int] = set()
+    vocabulary: set[str] = set()
     if exclude is not None:
         n = exclude.count()
         if n > exclude_limit:
@@ -280,4 +283,5 @@ def _fitted(docs: DataFrame, text: str, label: str, exclude: DataFrame | None, e
         for part in item_blocks(exclude, exclude_key, exclude_text, 20_000):
             for _, w in part:
                 shingles.update(hash_of(" ".join(w[j : j + 4])) for j in range(len(w) - 3))
-    return fit(docs, text, label, per_language, size, rounds, margin), frozenset(shingles)
+                vocabulary.update(w)
+    return fit(docs, text, label, per_language, size, rounds, margin), frozenset(shingles), frozenset(vocabulary)
