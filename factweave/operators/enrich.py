@@ -13,7 +13,7 @@ from factweave.operators import search
 def roles(facts: DataFrame) -> DataFrame:
     """has_role facts: what handles a route is an API handler; what is in a package of types, models or syntax is a data contract."""
     handlers = facts.where("p = 'handled_by'").select(F.col("o").alias("s"), F.lit("has_role").alias("p"), F.lit("api_handler").alias("o"))
-    contracts = facts.where("p = 'in_package'").where(F.col("o").rlike("types|models|meb|ast")).select("s", F.lit("has_role").alias("p"), F.lit("data_contract").alias("o"))
+    contracts = facts.where("p = 'in_package'").where(F.col("o").rlike("types|models|ast")).select("s", F.lit("has_role").alias("p"), F.lit("data_contract").alias("o"))
     return handlers.unionByName(contracts).distinct()
 
 

@@ -73,7 +73,7 @@ _LATEST = "SELECT node_id AS path, max_by(code, {{'a': ingested_at, 'k': node_ke
 QUERIES |= {"extracted_symbols": extracted_symbols, "code_facts": code_facts, "hash_changes": hash_changes, "virtual_facts": virtual_facts, "role_facts": role_facts, "events_by_hour": events_by_hour, "plan_two_steps": plan_two_steps, "registry_template": registry_template, "question_find": question_find}
 SQL |= {
     "hash_changes": f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.content <> b.content THEN 'changed' ELSE 'unchanged' END AS change FROM ({_LATEST.format(chr(32) + 'AND ingested_at < TIMESTAMP ' + chr(39) + '2032-01-01 00:00:00' + chr(39))}) a FULL JOIN ({_LATEST.format('')}) b ON a.path = b.path",
-    "role_facts": f"{FACTS_CTE} SELECT DISTINCT o AS s, 'has_role' AS p, 'api_handler' AS o FROM facts WHERE p = 'handled_by' UNION SELECT DISTINCT s, 'has_role', 'data_contract' FROM facts WHERE p = 'in_package' AND regexp_matches(o, 'types|models|meb|ast')",
+    "role_facts": f"{FACTS_CTE} SELECT DISTINCT o AS s, 'has_role' AS p, 'api_handler' AS o FROM facts WHERE p = 'handled_by' UNION SELECT DISTINCT s, 'has_role', 'data_contract' FROM facts WHERE p = 'in_package' AND regexp_matches(o, 'types|models|ast')",
     "events_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start_at, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "plan_two_steps": f"{FACTS_CTE} SELECT DISTINCT o AS callee FROM facts WHERE p = 'calls' AND s IN (SELECT o FROM facts WHERE p = 'defines' AND contains(s, '_test'))",
     "registry_template": f"{FACTS_CTE} SELECT DISTINCT x.s AS a, x.o AS b FROM facts x JOIN facts y ON x.o = y.s AND x.s = y.o WHERE x.p = 'calls' AND y.p = 'calls' AND x.s <> x.o",

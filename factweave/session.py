@@ -17,6 +17,7 @@ BROADCAST_LIMIT = 32 << 20
 
 _own: dict[int, str] = {}
 _shipped: set[str] = set()
+_scratch: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +47,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder for a table that an operator writes and reads again."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder for a table that an operator writes and reads again. It goes when the application ends."""
+    base = f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}"
+    if base not in _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _scratch.add(base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def default_tasks(spark: SparkSession) -> int:
