@@ -145,6 +145,10 @@ def dictionaries(labelled: list[tuple[str, list[str]]], size: int, rounds: int)
     counts again with the sentences' new labels.
     """
     now = [(c, xs) for c, xs in labelled if xs]
+    often: dict[str, int] = defaultdict(int)
+    for _, xs in now:
+        for x in xs:
+            often[x] += 1
     for _ in range(rounds):
         counts: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         total: dict[str, int] = defaultdict(int)
@@ -161,7 +165,7 @@ def dictionaries(labelled: list[tuple[str, list[str]]], size: int, rounds: int)
     texts: dict[str, list[str]] = defaultdict(list)
     for c, xs in now:
         texts[c] += xs
-    return {c: _content(xs, size) for c, xs in texts.items()}
+    return {c: _content(xs, size, often) for c, xs in texts.items()}
 
 
 def _units(x: str) -> set[str]:
@@ -172,17 +176,16 @@ def _units(x: str) -> set[str]:
     return out
 
 
-def _content(xs: list[str], size: int) -> bytes:
-    """Distinct sentences up to ``size`` bytes, spread evenly over the sample."""
-    xs = sorted(set(xs), key=lambda s: hash_of(s))
+def _content(xs: list[str], size: int, often: dict[str, int]) -> bytes:
+    """Distinct sentences up to ``size`` bytes: frequent ones first, else spread evenly; the most frequent stand last, next to the text."""
     out, n = [], 0
-    for s in xs:
+    for s in sorted(set(xs), key=lambda s: (-often[s], hash_of(s))):
         raw = s.encode() + b" "
         if n + len(raw) > size:
             break
         out.append(raw)
         n += len(raw)
-    return b"".join(out)
+    return b"".join(reversed(out))
 
 
 def hash_of(s: str) -> int:
@@ -225,7 +228,7 @@ def languages_of(found: list[tuple[int, str, str | None, float]]) -> dict[str, t
     return {c: (sum(g * n for g, n in xs) / sum(n for _, n in xs), sum(n for _, n in xs)) for c, xs in by.items()}
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.12, exclude_limit: int = 200_000) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.22, exclude_limit: int = 200_000) -> DataFrame:
     """key, label (as a code or null), lang_code, confidence, n_chars, n_langs: one row per document row and language it is written in.
 
     Documents without a running sentence (null, empty, blank, numbers, code) have no row. ``exclude`` are texts that are no
@@ -254,7 +257,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     return docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text, label_code(F.col(label)).alias("label")).mapInPandas(run, types)
 
 
-def identify_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.12, exclude_limit: int = 200_000) -> DataFrame:
+def identify_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.22, exclude_limit: int = 200_000) -> DataFrame:
     """key, segment_no, segment, segment_lang (null where rejected), confidence: one row per running sentence; else as identify."""
     docs = own_columns(docs, key, text, label)
     spark = ship(docs.sparkSession)
