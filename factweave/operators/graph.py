@@ -34,7 +34,8 @@ def resolve_calls(facts: DataFrame) -> DataFrame:
 
     In this order: the id itself; a symbol of that short name whose id contains the package before the dot; one in the
     caller's directory; any of that name (of several the smallest id); else the name as it stands. Candidates are reduced to one
-    per (name, package), (name, directory) and name before they meet the calls, so a common name never multiplies rows.
+    per (name, package), (name, directory) and name before they meet the calls, so a common name multiplies rows at most by the
+    distinct packages it is called with.
     """
     calls = raw_calls(facts).distinct()
     symbols = facts.where("p = 'defines'").select(F.col("o").alias("sym")).distinct()

@@ -178,7 +178,10 @@ query("graph_page_links", f"{W}, {_LINKS}, {_NODES}, part AS (SELECT id FROM nod
 _LINE = lambda c: f"CASE WHEN regexp_full_match({c}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(trunc(CAST({c} AS DOUBLE)) AS INT) END"
 _ATTR = "attr AS (SELECT s, " + ", ".join(f"min(CASE WHEN p = '{p}' THEN trim(o) END) AS {p}" for p in ("has_kind", "has_language", "start_line", "end_line")) + " FROM facts GROUP BY s)"
 query("hydrate_symbols", f"{W}, {_ATTR} SELECT id, has_kind AS kind, has_language AS language, {_LINE('start_line')} AS start_line, {_LINE('end_line')} AS end_line FROM (SELECT DISTINCT o AS id FROM facts WHERE p = 'defines') LEFT JOIN attr ON s = id")(lambda f, *_: hydrate.shallow(f, f.where("p = 'defines'").select(F.col("o").alias("id")).distinct()))
-query("hydrate_content")(lambda f, spark, d: hydrate.full(f, f.where("p = 'defines'").select(F.col("o").alias("id")).distinct(), table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content")), table(spark, d, "nodes").where("code is not null").select(F.col("node_id").alias("id"), F.col("code").alias("content"))))
+_START, _END = _LINE("start_line"), _LINE("end_line")
+_PART = f"CASE WHEN {_START} > 0 THEN CASE WHEN greatest({_START}, 1) > (CASE WHEN coalesce({_END}, 0) <= 0 THEN len(string_split(whole, chr(10))) ELSE least({_END}, len(string_split(whole, chr(10)))) END) THEN '' ELSE array_to_string(list_slice(string_split(whole, chr(10)), greatest({_START}, 1), CASE WHEN coalesce({_END}, 0) <= 0 THEN len(string_split(whole, chr(10))) ELSE least({_END}, len(string_split(whole, chr(10)))) END), chr(10)) END ELSE whole END"
+query("hydrate_content", f"""{W}, {_ATTR}, own AS (SELECT symbol_id AS k, min(symbol_content) AS own FROM symbols GROUP BY 1), whole AS (SELECT node_id AS f, min(code) AS whole FROM nodes WHERE code IS NOT NULL GROUP BY 1)
+SELECT id, has_kind AS kind, has_language AS language, {_START} AS start_line, {_END} AS end_line, coalesce(own, {_PART}) AS content FROM (SELECT DISTINCT o AS id FROM facts WHERE p = 'defines') LEFT JOIN attr ON s = id LEFT JOIN own ON k = id LEFT JOIN whole ON f = {file_sql('id')}""")(lambda f, spark, d: hydrate.full(f, f.where("p = 'defines'").select(F.col("o").alias("id")).distinct(), table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content")), table(spark, d, "nodes").where("code is not null").select(F.col("node_id").alias("id"), F.col("code").alias("content"))).select("id", "kind", "language", "start_line", "end_line", "content"))
 query("hydrate_one_symbol")(lambda f, spark, d: hydrate.symbol(f, hub(f), "atlas-core", table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content")), table(spark, d, "nodes").where("code is not null").select(F.col("node_id").alias("id"), F.col("code").alias("content"))))
 query("node_children", f"SELECT id, count(DISTINCT o) AS children_count FROM (SELECT DISTINCT s AS id FROM facts WHERE p = 'defines') JOIN facts ON s = id AND p = 'defines' GROUP BY 1")(lambda f, *_: hydrate.node_metadata(f, f.where("p = 'defines'").select(F.col("s").alias("id")).distinct()).select("id", "children_count"))
 query("context_block", f"""SELECT id, relation, node FROM (SELECT *, row_number() OVER (PARTITION BY id, relation ORDER BY node) AS n FROM (

@@ -55,6 +55,7 @@ query("what_calls_graph", f"{_E}, {_beyond(_CALLER, 2)} SELECT {_CALLER} AS sour
 query("reachability_depth_5", f"{_E}, {_bfs(_CALLER, 5)} SELECT node, depth FROM r")(lambda f: G.traverse(edges(f), G.nodes_frame(f.sparkSession, caller(f)), 5))
 query("is_reachable", f"{_E}, {_bfs(_CALLER, 5)} SELECT count(*) > 0 AS is_reachable, min(depth) AS depth FROM r WHERE node = {_HUB}")(lambda f: G.reachable(edges(f), caller(f), hub(f), 5))
 query("call_path")(lambda f: G.shortest_call_path(edges(f), caller(f), hub(f)))
+query("call_path_length", f"{_E}, {_bfs(_CALLER, 9)} SELECT depth AS hops FROM r WHERE node = {_HUB}")(lambda f: G.shortest_call_path(edges(f), caller(f), hub(f)).agg(F.max("step").alias("hops")).where("hops is not null"))
 query("call_path_undirected")(lambda f: G.shortest_call_path(G.undirected(edges(f)), hub(f), caller(f), 6))
 _LCA_A = "(SELECT dst FROM e GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1)"
 _LCA_B = "(SELECT dst FROM e GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1 OFFSET 1)"

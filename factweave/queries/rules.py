@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions import text as X
 from factweave.operators import rules as R
-from factweave.sources.fixtures import RULES_CTE, facts, rule_facts
+from factweave.queries.facts import short_sql
+from factweave.sources.fixtures import FACTS_CTE, RULES_CTE, facts, rule_facts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -140,4 +142,8 @@ query("impact_test_selection", f"{_BACK}, {_AFF} SELECT DISTINCT o AS test FROM
 query("impact_graph_edges", f"{RULES_CTE}, {_DEP}, {_FORTH}, keep AS (SELECT node FROM forth WHERE node IN (SELECT o FROM rf WHERE p = 'defines')) SELECT src, dst FROM dep WHERE src IN (SELECT node FROM keep) AND dst IN (SELECT node FROM keep)")(lambda r: r.dependency_graph(target(r))[1])
 query("impact_critical_paths", f"""{RULES_CTE}, {_DEP}, one AS (SELECT * FROM dep WHERE src <> dst), p AS (SELECT [src, dst] AS path, dst AS last, 1 AS length FROM one WHERE src = (SELECT s FROM rf WHERE p = 'calls' GROUP BY s ORDER BY count(*) DESC, s LIMIT 1) UNION ALL SELECT list_append(path, one.dst), one.dst, length + 1 FROM p JOIN one ON p.last = one.src WHERE length < 2 AND NOT list_contains(path, one.dst))
 SELECT path, length FROM p WHERE last IN (SELECT s FROM rf WHERE p = 'is_critical' AND o = 'true')""")(lambda r: r.critical_paths(r.facts.where("p = 'calls'").groupBy("s").count().orderBy(F.desc("count"), "s").head()[0], 2))
+_NAME = short_sql("o")
+_ROLES, _TAGS = ", ".join(map(_q, R.STICKY_ROLES)), ", ".join(map(_q, R.STICKY_TAGS))
 QUERIES["sticky_facts"] = lambda spark, sf_dir: R.sticky(facts(spark, sf_dir)).select("s", "p", "o").distinct()
+SQL["sticky_facts"] = f"""{FACTS_CTE} SELECT DISTINCT s, p, o FROM facts WHERE p = 'has_security_risk' OR p = 'defines' AND (o IN (SELECT s FROM facts WHERE p = 'has_role' AND o IN ({_ROLES}) OR p = 'has_tag' AND o IN ({_TAGS}))
+OR regexp_matches(lower({_NAME}), '{"|".join(X.ATTENTION_ANYWHERE)}|^on_|callback$') OR regexp_matches({_NAME}, '^({"|".join(X.ATTENTION_PREFIX)})|({"|".join(X.ATTENTION_SUFFIX)})$'))"""
