@@ -39,6 +39,8 @@ _SPLIT = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？；])")
 _ACCENT = re.compile("[\u0300-\u036f]")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
+_NAMES = re.compile(r"[_\d(]|[a-z][A-Z]")
 _NAME = re.compile(r"\b(?:\w*_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*|\w+\(\)|\w*\d\w*)")
 
 
@@ -69,9 +71,10 @@ def sentences(text: str) -> list[str]:
     for line in text.split("\n"):
         marked = _LEAD.match(line)
         body = line[marked.end() :].strip()
-        if not body or marked[0].strip() or _CODE.search(body):
+        skip = not body or _CODE.search(body) is not None
+        if skip or marked[0].strip():
             close()
-        if not body or _CODE.search(body):
+        if skip:
             continue
         part.append(body)
         if marked[0].strip().startswith("#"):
@@ -82,15 +85,24 @@ def sentences(text: str) -> list[str]:
 
 def running(sentence: str) -> str | None:
     """The normal form of a sentence if it is one: at least four words or eight characters of a script without spaces."""
-    plain = _NAME.sub(" ", sentence)
+    plain = _NAME.sub(" ", sentence) if _NAMES.search(sentence) else sentence
+    text = normal(plain)
     if not plain.isascii() and len(_HAN.findall(plain)) >= 8:
-        return normal(plain)
-    words = _WORD.findall(plain)
-    return normal(plain) if len(words) >= 4 and sum(map(len, words)) >= 16 else None
+        return text
+    words = text.count(" ") + 1
+    return text if words >= 4 and len(text) - words + 1 >= 16 else None
+
+
+def script(text: str) -> str:
+    """The script that most of a normal text is in: L (Latin), C (Cyrillic) or H (Han and Kana)."""
+    if text.isascii():
+        return "L"
+    half = (len(text) - text.count(" ")) / 2
+    return "H" if len(_HAN.findall(text)) > half else "C" if len(_CYRILLIC.findall(text)) > half else "L"
 
 
 class Compressor:
-    """One raw-content dictionary a language."""
+    """One raw-content dictionary a language. A text meets those in its own script: another script's cannot be the smallest."""
 
     def __init__(self, texts: dict[str, bytes], level: int = 3):
         import zstandard as zstd
@@ -101,17 +113,23 @@ class Compressor:
             d = zstd.ZstdCompressionDict(texts[c], dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.by.append(zstd.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        by_script: dict[str, list[int]] = defaultdict(list)
+        for i, c in enumerate(self.codes):
+            by_script[script(texts[c].decode(errors="ignore"))].append(i)
+        # A single dictionary has no runner-up of its own script: the margin then is to those of the others.
+        self.of_script = {s: by_script[s] if len(by_script[s]) > 1 else range(len(self.codes)) for s in "LCH"}
         self.cache: dict[str, tuple[str | None, float]] = {}
 
-    def sizes(self, text: str) -> list[int]:
+    def sizes(self, text: str) -> list[tuple[int, str]]:
+        """(compressed bytes, language), smallest first."""
         raw = text.encode()
-        return [len(z.compress(raw)) for z in self.by]
+        return sorted((len(self.by[i].compress(raw)), self.codes[i]) for i in self.of_script[script(text)])
 
     def language(self, text: str, margin: float) -> tuple[str | None, float]:
         """The language of a normal text and the confidence (the runner-up's excess over the best), None if narrow."""
         hit = self.cache.get(text)
         if hit is None:
-            order = sorted(zip(self.sizes(text), self.codes, strict=True))
+            order = self.sizes(text)
             gap = (order[1][0] - order[0][0]) / order[1][0] if len(order) > 1 else 1.0
             hit = (order[0][1] if gap >= margin else None, gap)
             if len(self.cache) < 50_000:
