@@ -144,14 +144,14 @@ def label_code(label):
 
 
 def fit(docs: DataFrame, text: str, label: str, per_language: int, size: int, rounds: int, margin: float) -> dict[str, bytes]:
-    """The dictionaries. At most about ``per_language`` labelled documents of each language come to the driver."""
-    known = own_columns(docs, text, label).select(F.col(text).alias("t"), label_code(F.col(label)).alias("c")).where("c is not null and length(t) between 40 and 20000")
+    """The dictionaries. At most about ``per_language`` labelled documents of each language, none over 8,000 characters, come to the driver."""
+    known = own_columns(docs, text, label).select(F.col(text).alias("t"), label_code(F.col(label)).alias("c")).where("c is not null and length(t) between 40 and 8000")
     counts = {r[0]: r[1] for r in known.groupBy("c").count().collect()}
     share = F.lit(0.0)
     for c, n in counts.items():
         share = F.when(F.col("c") == c, min(1.0, per_language / n)).otherwise(share)
     # A row is in the sample by its text's hash, so the sample does not depend on how the table is partitioned.
-    sample = known.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000).limit(4 * per_language * len(NAMES))
+    sample = known.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * per_language * len(NAMES))
     return dictionaries([(c, [x for s in sentences(t) if (x := running(s))]) for t, c in sorted(map(tuple, sample.collect()))], size, rounds)
 
 
