@@ -6,12 +6,13 @@ that cuts the lineage, and a stop as soon as the frontier is empty. A frontier i
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import text as X
 from factweave.schema import EDGE_WEIGHTS, OTHER_WEIGHT
-from factweave.session import checkpoint
+from factweave.session import checkpoint, ship
 
 #: A checkpointed frontier of at most this many rows is broadcast.
 FRONTIER_ROWS = 100_000
@@ -224,15 +225,64 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return found
 
 
-def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """node, component: strongly connected components by colouring; the component is its smallest node.
-
-    Each round spreads the least id forward until nothing changes, then keeps what reaches its colour backward: those nodes
-    are components and leave the graph.
+def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of one small graph, with an explicit stack."""
+    near: dict[str, list[str]] = {}
+    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, [])
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_nodes: list[str] = []
+    is_open: set[str] = set()
+    out: list[tuple[str, str]] = []
+    for root in near:
+        if root in order:
+            continue
+        work = [(root, iter(near[root]))]
+        order[root] = low[root] = len(order)
+        open_nodes.append(root)
+        is_open.add(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in order:
+                    order[nxt] = low[nxt] = len(order)
+                    open_nodes.append(nxt)
+                    is_open.add(nxt)
+                    work.append((nxt, iter(near[nxt])))
+                    break
+                if nxt in is_open:
+                    low[node] = min(low[node], order[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    at = open_nodes.index(node)
+                    members = open_nodes[at:]
+                    del open_nodes[at:]
+                    is_open.difference_update(members)
+                    out += [(m, min(members)) for m in members]
+    return pd.DataFrame(out, columns=["node", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 1000, one_task_edges: int = 200_000) -> DataFrame:
+    """node, component: strongly connected components; the component is its smallest node.
+
+    Of a larger graph the edges that cannot lie on a cycle are peeled off first. If at most ``one_task_edges`` are left, one task finds
+    their components; more are coloured: each round spreads the least id forward until nothing changes, then keeps what reaches its colour
+    backward: those nodes are components and leave the graph. The result is the same either way.
     """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     done = None
-    rest, links = checkpoint(nodes), trim(edges)
+    rest, links = checkpoint(nodes), checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
+    if links.count() > one_task_edges:
+        links = trim(links)
+    if links.count() <= one_task_edges:
+        ship(edges.sparkSession)
+        found = links.withColumn("graph", F.lit(1)).groupBy("graph").applyInPandas(_tarjan, "node string, component string")
+        return rest.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     for _ in range(rounds):
         if links.isEmpty():
             break

@@ -119,7 +119,11 @@ query("spread_tags", "SELECT DISTINCT d.o AS s, 'has_tag' AS p, t.o FROM facts d
 query("called_routes", "SELECT DISTINCT r.s AS source, h.o AS target, r.route FROM (SELECT s, split_part(o, '?', 1) AS route FROM facts WHERE p = 'references') r JOIN facts h ON h.p = 'handled_by' AND h.s = r.route")(lambda f, *_: search.called_routes(f))
 query("symbol_search", "SELECT DISTINCT o AS symbol FROM facts WHERE p = 'defines' AND contains(lower(o), 'graph') ORDER BY 1 LIMIT 50")(lambda f, *_: search.symbols_like(f, "Graph"))
 query("name_search", "SELECT DISTINCT o AS symbol FROM facts WHERE p = 'defines' AND contains(lower(split_part(o, ':', -1)), 'merge') ORDER BY 1 LIMIT 10")(lambda f, *_: search.names_like(f, "merge"))
-query("fuzzy_search")(lambda f, *_: search.fuzzy(f.where("p = 'defines'").select(F.col("o").alias("symbol")), "symbol", "mergegraph"))
+_NEAR = "1 - levenshtein({0}, 'mergegraph') / greatest(length({0}), 10)"
+query("fuzzy_search", f"""{W}, c AS (SELECT DISTINCT o AS symbol, lower(o) AS l FROM facts WHERE p = 'defines'), t AS (SELECT symbol, l, list_filter(string_split_regex(l, '[^a-z0-9]+'), lambda x: x <> '') AS parts, regexp_matches(l, '[a-z0-9]$') AS ends FROM c),
+k AS (SELECT symbol, l, list_filter(parts, lambda x, i: length(x) > 2 OR octet_length(encode(l)) < 10 OR (ends AND i = len(parts))) AS toks FROM t),
+r AS (SELECT symbol, CASE WHEN l = 'mergegraph' THEN 1.0 WHEN contains(l, 'mergegraph') THEN 0.95 ELSE greatest({_NEAR.format('l')}, coalesce(list_max(list_transform(toks, lambda x: CASE WHEN x = 'mergegraph' THEN 1.0 WHEN contains(x, 'mergegraph') THEN 0.95 ELSE {_NEAR.format('x')} END)), 0)) END AS score FROM k)
+SELECT symbol, round(score, 6)::DOUBLE AS score FROM r WHERE score > 0.3 ORDER BY round(score, 6) DESC, symbol LIMIT 10""")(lambda f, *_: search.fuzzy(f.where("p = 'defines'").select(F.col("o").alias("symbol")), "symbol", "mergegraph").withColumn("score", F.round("score", 6)))
 _VEC = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT e AS x FROM v WHERE vec_id = 0)"
 _COS = "list_inner_product(e, x) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(x, x)))"
 

@@ -57,7 +57,7 @@ def test_cycles_and_components(random_graph):
     pairs, e = random_graph
     reach = {a: set(bfs(pairs, a, 99)) for a, _ in pairs} | {b: set(bfs(pairs, b, 99)) for _, b in pairs}
     want = {n: min(m for m in reach if m in reach[n] and n in reach[m]) for n in reach}
-    assert dict(rows(G.components(e))) == want
+    assert dict(rows(G.components(e))) == want == dict(rows(G.components(e, one_task_edges=0)))
     edges, found = set(pairs), set()
     for a in reach:
         for b in reach:
