@@ -1,19 +1,18 @@
 """P1: files that nobody wrote by hand - tool output, minified or bundled code, lock files, vendored copies, data as code.
 
-Three stages, all linear in the text and all inside the JVM:
+Three stages, all inside the JVM and, but for the pairs of the second, linear in the text:
 
 1. per text, token-composition counts (comment banners, literals, identifiers, line lengths) by built-in expressions;
-2. an inverted index of line hashes over the distinct bodies, which names for every line one file of the first and one of
-   the last repository that has it (two anchors instead of all pairs, so a line that a third of all files share costs as much
-   per row as a rare one), weighted by rarity; the containment of a file in its best anchor of another repository is
-   then counted exactly over the lines of both;
+2. an inverted index of line hashes over the distinct bodies of library files. A body that holds a share c of a file's k lines
+   holds at least one of any k - ceil(c k) + 1 of them, so the rarest so many lines of a file name every body that can reach the
+   share, and no other lines are looked up; each pair so named is counted exactly over the lines of both;
 3. composition rules for everything else.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.session import checkpoint, own_columns
@@ -91,8 +90,10 @@ def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.
     names = ["n_chars", "n_lines", "n_space", "n_ids", "n_short", "n_rest", "n_words", "n_code", "banner", "library", "locked"]
 
     own = _composition(F.col("code"), config)
-    with_code = nodes.where("code is not null").select("node_key", "node_id", *(own[c].alias(c) for c in names))
-    bare = nodes.where("code is null").select("node_key", "node_id")
+    # Rows of one file may have different texts; each text is judged for itself.
+    version = F.xxhash64("code").alias("version")
+    with_code = nodes.where("code is not null").select("node_key", "node_id", version, *(own[c].alias(c) for c in names))
+    bare = nodes.where("code is null").select("node_key", "node_id", version)
 
     # Files without code: counts of their symbols, partially aggregated before the shuffle by file.
     file_id = F.substring_index("symbol_id", ":", 1)
@@ -102,7 +103,7 @@ def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.
         symbols.where("symbol_id is not null and symbol_content is not null").withColumn("node_id", file_id).join(wanted, "node_id", "left_semi")
         .groupBy("node_id").agg(*(F.sum(per[c]).alias(c) if c.startswith("n_") else F.max(per[c]).alias(c) for c in names))
     )
-    from_symbols = bare.join(of_symbols, "node_id", "left").select("node_key", "node_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    from_symbols = bare.join(of_symbols, "node_id", "left").select("node_key", "node_id", "version", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
     counts = with_code.unionByName(from_symbols)
 
     folder = F.lower(path).rlike(rf"(?:^|/)(?:{'|'.join(d.replace('.', '[.]') for d in VENDOR_DIRS)})/")
@@ -114,51 +115,63 @@ def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.
     origin = F.when(lock, "lock").when(minified | _any_name(path, MINIFIED_NAMES), "minified").when(folder | (F.col("library") == 1), "vendored").when(generated_name | (F.col("banner") == 1), "generated").when(data, "data")
     evidence = F.when(lock, "name or content of a lock file").when(minified, "dense lines of short names").when(_any_name(path, MINIFIED_NAMES), "name").when(folder, "folder").when(F.col("library") == 1, "library notice").when(generated_name, "name").when(F.col("banner") == 1, "banner").when(data, "one literal")
     # Three later stages read the judgements; the texts are scanned for them once.
-    judged = checkpoint(counts.select("node_key", "node_id", origin.alias("origin"), evidence.alias("evidence")))
+    judged = checkpoint(counts.select("node_key", "node_id", "version", origin.alias("origin"), evidence.alias("evidence")))
 
-    copies = vendored_copies(nodes, judged, containment, min_lines)
+    copies = vendored_copies(nodes, symbols, judged, containment, min_lines)
     return (
-        judged.join(copies.withColumnRenamed("fid", "copy_of_id"), F.col("node_id") == F.col("copy_of_id"), "left")
+        judged.join(copies.withColumnRenamed("fid", "node_id"), ["node_id", "version"], "left")
         .select("node_key", "node_id", F.coalesce("origin", F.when(F.col("contained").isNotNull(), "vendored")).alias("origin"), F.coalesce("evidence", F.when(F.col("contained").isNotNull(), "copy of a library file elsewhere")).alias("evidence"), F.col("contained").alias("containment"))
         .where("origin is not null")
     )
 
 
-def line_index(nodes: DataFrame) -> DataFrame:
-    """fid, repo, h: the distinct informative lines of every file with code, as 64-bit hashes, each file once.
+def line_index(nodes: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """fid, version, repo, body, k, hs: the distinct informative lines of every text of a file, as 64-bit hashes, each text once.
 
     Lines of under 12 characters or without a letter tell nothing of where a file comes from. Comment lines are left out, so a
-    notice that was put on top of a copy does not matter.
+    notice that was put on top of a copy does not matter. A file without code has the lines of its symbols. ``body`` stands for
+    the set of lines, in whatever order.
     """
-    lines = F.array_distinct(F.filter(F.transform(F.split("code", "\r\n|\r|\n"), F.trim), lambda x: (F.length(x) >= 12) & x.rlike(r"\p{L}") & ~x.rlike(r"^(?://|#|/\*|\*|\"\"\"|''')")))
-    files = nodes.where("node_id is not null and code is not null").select(F.col("node_id").alias("fid"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs"))
-    return files.groupBy("fid").agg(F.min(F.struct(F.size("hs").alias("k"), F.xxhash64("hs").alias("body"), "hs")).alias("m")).select("fid", F.substring_index("fid", "/", 1).alias("repo"), "m.body", "m.k", "m.hs")
-
-
-def vendored_copies(nodes: DataFrame, judged: DataFrame, containment: float, min_lines: int) -> DataFrame:
-    """fid, contained: files not yet judged whose lines are contained, to the given share, in a vendored file of another repository."""
-    files = line_index(nodes).where(F.col("k") >= min_lines)
-    known = judged.where("origin = 'vendored'").select(F.col("node_id").alias("fid")).distinct().withColumn("known", F.lit(True))
-    settled = judged.where("origin is not null").select(F.col("node_id").alias("fid")).distinct()
-    library = files.join(known, "fid", "left_semi").select("fid", "repo", "k", "hs")
-    open_files = files.join(settled, "fid", "left_anti").select("fid", "repo", "k", "hs")
-
-    # The inverted index of library lines: two anchors a line, of different repositories where there are any.
-    key = F.struct(F.col("repo"), F.col("fid"))
-    index = (
-        library.select("fid", "repo", F.explode("hs").alias("h")).groupBy("h")
-        .agg(F.count(F.lit(1)).alias("df"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+
+    def hashes(text: str) -> Column:
+        lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), F.trim), lambda x: (F.length(x) >= 12) & x.rlike(r"\p{L}") & ~x.rlike(r"^(?://|#|/\*|\*|\"\"\"|''')"))
+        return F.transform(F.array_distinct(lines), lambda x: F.xxhash64(x))
+
+    version = F.xxhash64("code").alias("version")
+    named = nodes.where("node_id is not null")
+    files = named.where("code is not null").select(F.col("node_id").alias("fid"), version, hashes("code").alias("hs")).groupBy("fid", "version").agg(F.first("hs").alias("hs"))
+    if symbols is not None:
+        bare = named.where("code is null").select(F.col("node_id").alias("fid"), version).distinct()
+        lines = symbols.where("symbol_content is not null").select(F.substring_index("symbol_id", ":", 1).alias("fid"), F.explode(hashes("symbol_content")).alias("h"))
+        files = files.unionByName(lines.join(bare, "fid").groupBy("fid", "version").agg(F.collect_set("h").alias("hs")))
+    return files.select("fid", "version", F.substring_index("fid", "/", 1).alias("repo"), F.xxhash64(F.array_sort("hs")).alias("body"), F.size("hs").alias("k"), "hs")
+
+
+def vendored_copies(nodes: DataFrame, symbols: DataFrame, judged: DataFrame, containment: float, min_lines: int) -> DataFrame:
+    """fid, version, contained: texts not yet judged whose lines are contained, to the given share, in a vendored file of another repository."""
+    origins = judged.where("node_id is not null and (origin is null or origin = 'vendored')").select(F.col("node_id").alias("fid"), "version", F.col("origin").isNotNull().alias("known")).distinct()
+    files = checkpoint(line_index(nodes, symbols).where(F.col("k") >= min_lines).join(origins, ["fid", "version"]))
+    # Texts of the same lines are one body; ``sole`` is the only repository that has it, or null if several have.
+    library = (
+        files.where("known").groupBy("body").agg(F.first("k").alias("lk"), F.first("hs").alias("theirs"), F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+        .select(F.col("body").alias("library"), "lk", "theirs", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sole"))
+    )
+    texts = files.where("not known").groupBy("body").agg(F.first("k").alias("k"), F.first("hs").alias("mine"))
+    need = F.ceil(containment * F.col("k") - 1e-9)
+
+    # Lines that no library has come first in the order of rarity; what they leave of the k - need + 1 is looked up.
+    postings = library.select("library", "lk", F.explode("theirs").alias("h"))
+    rarity = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    rare = (
+        texts.select("body", "k", F.explode("mine").alias("h")).join(rarity, "h").groupBy("body", "k").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ls"))
+        .where(F.size("ls") >= need).select("body", need.alias("need"), F.explode(F.slice("ls", F.lit(1), (F.size("ls") - need + 1).cast("int"))).alias("l")).select("body", "need", "l.h")
     )
-    lines = open_files.select("fid", "repo", F.col("k"), F.explode("hs").alias("h"))
-    hits = lines.join(index, "h").select("fid", "repo", "k", "df", F.when(F.col("lo.repo") != F.col("repo"), F.col("lo")).when(F.col("hi.repo") != F.col("repo"), F.col("hi")).alias("anchor")).where("anchor is not null")
-    votes = hits.groupBy("fid", "k", F.col("anchor.fid").alias("anchor")).agg(F.count(F.lit(1)).alias("shared"), F.sum(1 / F.col("df")).alias("rarity"))
-    best = votes.groupBy("fid", "k").agg(F.sum("shared").alias("covered"), F.max(F.struct("shared", "rarity", "anchor")).alias("b")).where(F.col("covered") >= containment * F.col("k"))
-    # Exact containment in the best anchor, over all lines of both files.
+    pairs = rare.join(postings, "h").where("lk >= need").select("body", "library").distinct()
     exact = (
-        best.select("fid", "k", F.col("b.anchor").alias("anchor")).join(open_files.select("fid", F.col("hs").alias("mine")), "fid")
-        .join(library.select(F.col("fid").alias("anchor"), F.col("hs").alias("theirs")), "anchor")
-        .select("fid", (F.size(F.array_intersect("mine", "theirs")) / F.col("k")).alias("contained"))
+        pairs.join(texts, "body").join(library.select("library", "theirs", "sole"), "library").withColumn("shared", F.size(F.array_intersect("mine", "theirs")))
+        .where(F.col("shared") >= need).groupBy("body", "sole").agg(F.max(F.col("shared") / F.col("k")).alias("contained"))
     )
-    return exact.where(F.col("contained") >= containment)
-
-
+    # A library that stands in the text's own repository alone does not count: of two different ``sole`` one always does.
+    place = F.row_number().over(Window.partitionBy("body").orderBy(F.desc("contained"), "sole"))
+    best = exact.withColumn("place", place).where("place <= 2").drop("place")
+    return files.where("not known").select("fid", "version", "repo", "body").join(best, "body").where("sole is null or sole <> repo").groupBy("fid", "version").agg(F.max("contained").alias("contained"))

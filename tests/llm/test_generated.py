@@ -60,3 +60,23 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_very_long_text(spark):
     assert found(spark, [("a/big.go", HAND * 20_000)]) == {}
+
+
+def test_every_library_version_counts(spark):
+    """The best-voted library holds too little of the copy, another one all of it; libraries known by their symbols alone; own versions."""
+    body = [f"value_{i} = compute_{i * i}(left_{i}, right_{i})" for i in range(40)]
+    nodes = [("a/vendor/l.py", "\n".join(body[:32])), ("m/vendor/l.py", "\n".join(body)), ("z/vendor/l.py", "\n".join(body[8:])), ("q/src/l.py", "\n".join(body)), ("m/src/l.py", "\n".join(body))]
+    assert found(spark, nodes) == {0: "vendored", 1: "vendored", 2: "vendored", 3: "vendored"}
+    nodes = [("a/vendor/l.py", None), ("q/src/l.py", "\n".join(body)), ("r/src/l.py", None)]
+    symbols = [("a/vendor/l.py:f", "\n".join(body[:20])), ("a/vendor/l.py:g", "\n".join(body[20:])), ("r/src/l.py:f", "\n".join(body[5:20]))]
+    assert found(spark, nodes, symbols) == {0: "vendored", 1: "vendored", 2: "vendored"}
+    nodes = [("a/vendor/l.py", "\n".join(body)), ("q/src/l.py", "\n".join(body)), ("q/src/l.py", HAND * 9 + "\n".join(f"own_{i} = something_{i}(1)" for i in range(9)))]
+    assert found(spark, nodes) == {0: "vendored", 1: "vendored"}
+
+
+def test_copies_against_brute_force(spark):
+    r = random.Random(8)
+    pool = [f"name_{i} = call_{i * 7}(first, second_{i})" for i in range(60)]
+    texts = [(f"r{r.randrange(6)}/{'vendor' if i % 2 else 'src'}/f{i}.py", set(r.sample(pool[: r.choice([12, 20, 60])], r.choice([8, 9, 10, 11])) if r.random() < 0.7 else pool[: r.choice([10, 12, 20, 40])])) for i in range(80)]
+    want = {i for i, (p, ls) in enumerate(texts) if "/vendor/" in p or any("/vendor/" in q and q.split("/")[0] != p.split("/")[0] and 10 * len(ls & ms) >= 9 * len(ls) for q, ms in texts)}
+    assert set(found(spark, [(p, "\n".join(sorted(ls))) for p, ls in texts])) == want
