@@ -1,7 +1,7 @@
 """P4: credentials embedded in source code and configuration.
 
-Lines with any cue of a credential are lexed; the tokens of their literal zones (string literals, configuration values, values in
-comments, user information of addresses, what follows an authorization scheme) are labelled by a linear-chain CRF with
+Lines with any cue of a credential are lexed; the tokens of their literal zones (string literals in code and in comments, configuration
+values, values in comments, issued tokens wherever they stand, user information of addresses, what follows an authorization scheme) are labelled by a linear-chain CRF with
 shape and context features, and the Viterbi spans are the characters to redact. Tokens outside literal zones, and lines
 without a cue, are outside the model's support: their label is O by construction. The field is trained from generated
 lines (``training_lines``), so no text of the corpus is needed to fit it.
@@ -29,15 +29,20 @@ OTHER_WORDS = frozenset("id uuid guid hash digest sum checksum etag revision rev
 ISSUED = r"(?:sk|pk|rk)_(?:live|test)_|gh[pousr]_|github_pat_|xox[abeoprs]-|AIza|AKIA|ASIA|glpat-|npm_|pypi-|dop_v1_|hf_|SG\.|ya29\.|shp(?:at|ca|pa|ss)_|eyJ[\w-]{8,}\.eyJ"
 _CUE_WORD = r"pass|phrase|pwd|pw\b|pw[\"'_=: ]|secret|token|key|auth|cred|kennwort|contrase|senha|wachtwoord|parola|пароль|密码|パスワード|login|dial|connect|bearer|basic"
 CUE = re.compile(
-    rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY|(?<![A-Za-z0-9])(?:{ISSUED})|://[^\s:/@\"'`]*:[^\s\"'`]+@|(?:-u|--user)[ =][\"']?[^\s:\"']+:[^\s\"']{{3}}|(?i:{_CUE_WORD})[^\n\"'`]{{0,60}}(?:[\"'][^\n\"'`]{{0,60}}){{0,5}}[\"'`][^\"'`\n]{{5}}|(?i:{_CUE_WORD})[\w.-]*\s*[:=]\s*[^\s\"'`]{{5}}"
+    rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY|(?<![A-Za-z0-9])(?:{ISSUED})|://[^\s:/@\"'`]*:[^\s\"'`]+@|(?:-u|--user)[ =][\"']?[^\s:\"']+:[^\s\"']{{3}}|(?i:{_CUE_WORD})[^\n\"'`]{{0,60}}(?:[\"'][^\n\"'`]{{0,60}}){{0,5}}[\"'`][^\"'`\n]{{5}}|(?i:{_CUE_WORD})[\w.-]*\s*[:=]\s*[^\s\"'`]{{5}}|(?i:\b(?:bearer|basic))\s+[^\s\"'`]{{8}}"
 )
 _CONFIG = re.compile(r"(?:\.(?:ya?ml|json|ini|toml|cfg|conf|config|properties|env|tf|tfvars|xml)|(?:^|/)\.env[\w.]*|(?:^|/)(?:Dockerfile|credentials|netrc|\.npmrc|\.pypirc))$", re.I)
 _COMMENT = re.compile(r"^\s*(?://+|#+|/\*+|\*+|--|;+|<!--|\"\"\"|''')\s*")
 _TOKEN = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\w+|\s+|[^\w\s]")
 _USERINFO = re.compile(r"[a-zA-Z][\w+.-]*://([^\s:/@\"'`]*):([^\s\"'`]+)@(?=[\w.\[$-])|(?:-u|--user)[ =][\"']?([^\s:\"']+):([^\s\"']+)")
-_SCHEME = re.compile(r"^(?:Bearer|Basic|Token|ApiKey|Digest|AWS4-HMAC-SHA256)\s+(?=\S)", re.I)
+_SCHEME = re.compile(r"^(?:(?:proxy-)?authorization\s*[:=]\s*)?(?:Bearer|Basic|Token|ApiKey|Digest|AWS4-HMAC-SHA256)\s+(?=\S)", re.I)
 _CONF_LINE = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?([\w.\- ]*[\w])\s*(?:[:=]|:=)\s*(?![\"'`|>]|$)(\S.*?)\s*[,;]?\s*$")
 _COMMENT_VALUE = re.compile(r"([\w.\-]+(?:[ ][\w.\-]+){0,3})\s*[:=]\s*(?![A-Za-z_][\w.\-]{1,40}=\S)([^\s\"'`]{5,})")
+_COMMENT_SCHEME = re.compile(r"(?:\b(?:Bearer|Basic)|authorization\s*[:=]\s*(?:Token|ApiKey|Digest|AWS4-HMAC-SHA256))\s+([^\s\"'`,;]{8,})", re.I)
+_SCHEME_WORD = re.compile(r"^(?:Bearer|Basic|Token|ApiKey|Digest|AWS4-HMAC-SHA256)$", re.I)
+_TRAILING = re.compile(r"(?<!:)//|(?<=\s)(?:#|--(?=\s)|/\*|<!--|;(?=\s))")
+_BARE_ISSUED = re.compile(rf"(?<![A-Za-z0-9])(?:{ISSUED})[\w.+/=-]{{7,}}[\w+/=-]")
+_DEFINE = re.compile(r"#\s*define\s+(\w+)\s+$")
 _KEY = re.compile(r"([\w\-.\]\[\"'$@]+?)\s*(?::\s*[\w<>\[\]|.]+\s*(?==[^>=]))?(?:\]|\))?\s*(?::=|=>|[:=])\s*(?:[\w.\[\]]+[({]\s*)?[rbuf$@]{0,2}$")
 _CALL = re.compile(r"([\w.]+)\s*\([^()]*$")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_]+")
@@ -84,23 +89,34 @@ def zones(line: str, config: bool) -> list[tuple[int, int, str, str | None, str
         a, b = m.span(2) if m[2] is not None else m.span(4)
         special.append((a, b, "userinfo", None, None, m[1] or m[3], False, 0))
     comment = _COMMENT.match(line)
+    if line.lstrip().startswith(('"""', "'''")):
+        comment = None
     literals = []
-    if not comment or line.lstrip().startswith(('"""', "'''")):
-        i, n = 0, len(line)
-        while i < n:
-            q = line[i]
-            if q in "\"'`":
-                if line.startswith(q * 3, i):
-                    i += 2
-                j = i + 1
-                while j < n and line[j] != q:
-                    j += 2 if line[j] == "\\" and q != "`" else 1
-                j = min(j, n)
-                literals.append((i + 1, j))
-                i = j
-            elif line.startswith("//", i) and (i == 0 or line[i - 1] != ":") or (q == "#" and i and line[i - 1] == " "):
-                break
-            i += 1
+    # Where the text of a comment begins, of a whole line or behind code.
+    i, n, remark = 0, len(line), comment.end() if comment else None
+    while i < n:
+        q = line[i]
+        if q in "\"'`":
+            if remark is not None and q == "'" and i and line[i - 1].isalnum() and not re.search(r"(?<!\w)[rbufRBUF]{1,2}$", line[max(0, i - 3) : i]):
+                i += 1  # an apostrophe
+                continue
+            start = i
+            if line.startswith(q * 3, i):
+                i += 2
+            j = i + 1
+            while j < n and line[j] != q:
+                j += 2 if line[j] == "\\" and q != "`" else 1
+            j = min(j, n)
+            if remark is not None and j == n:
+                i = start + 1  # a quotation mark in running text
+                continue
+            literals.append((i + 1, j))
+            i = j
+        elif remark is None and (m := _TRAILING.match(line, i)):
+            remark = m.end()
+            i = remark
+            continue
+        i += 1
     before = None
     for a, b in literals:
         head, rest = line[: a - 1], line[b + 1 :].lstrip() if b < len(line) else ""
@@ -108,31 +124,43 @@ def zones(line: str, config: bool) -> list[tuple[int, int, str, str | None, str
         is_key = rest[:1] == ":" and not rest.startswith("://") or rest[:2] == "=>" or (rest[:1] == "]" and "=" in rest[1:4])
         key = _KEY.search(head)
         call = _CALL.search(head)
-        name = key[1] if key else None
+        name = key[1] if key else m[1] if (m := _DEFINE.search(head)) else None
         args = line[call.start() : a].count(",") if call else 0
         if joined:
             z = (a, b, "joined", out[-1][3], out[-1][4], out[-1][5], False, out[-1][7])
         else:
             z = (a, b, "string", name, call[1] if call else None, before, is_key, args)
         scheme = _SCHEME.match(line[a:b])
-        if scheme and len(line[a:b].split()) == 2:
+        if scheme and len(line[a + scheme.end() : b].split()) == 1:
             z = (a + scheme.end(), b, "scheme", *z[3:])
         out.append(z)
         before = line[a:b]
-    if not literals:
-        body = line[comment.end() :] if comment else line
-        shift = len(line) - len(body)
-        if comment:
-            if "BEGIN" in line and (m := re.search(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*", line)):
-                out.append((m.start(), len(line.rstrip()), "value", None, None, None, False, 0))
-            else:
-                out += [(m.start(2) + shift, m.end(2) + shift, "comment", m[1], None, None, False, 0) for m in _COMMENT_VALUE.finditer(body)]
-        elif config and (m := _CONF_LINE.match(line)):
-            out.append((m.start(2), m.end(2), "value", m[1], None, None, False, 0))
-        elif (m := re.search(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*", line)) or (config and (m := re.search(rf"(?<![A-Za-z0-9])(?:{ISSUED})[\w.+/=-]{{8,}}", line))):
-            out.append((m.start(), len(line.rstrip()) if line[m.start()] == "-" else m.end(), "value", None, None, None, False, 0))
+    taken = [(a, b) for a, b in literals]
+
+    def add(a: int, b: int, kind: str, key: str | None) -> None:
+        if not any(x < b and a < y for x, y in taken):
+            taken.append((a, b))
+            out.append((a, b, kind, key, None, None, False, 0))
+
+    pem = re.search(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*", line)
+    if pem:
+        add(pem.start(), len(line.rstrip()), "value", None)
+    elif config and not comment and not any(remark is None or a < remark for a, _ in literals):
+        mark = re.search(r"\s#", line)
+        if m := _CONF_LINE.match(line[: mark.start()] if mark else line):
+            add(*m.span(2), "value", m[1])
+    if remark is not None:
+        for m in _COMMENT_SCHEME.finditer(line, remark):
+            add(*m.span(1), "scheme", None)
+        for m in _COMMENT_VALUE.finditer(line, remark):
+            if not _SCHEME_WORD.match(m[2]):
+                add(*m.span(2), "comment", m[1])
+    for m in _BARE_ISSUED.finditer(line):
+        # Outside configuration, names of variables may begin like tokens: a token has a long run with a digit.
+        if config or any(len(w) >= 12 and re.search(r"\d", w) for w in re.findall(r"[A-Za-z0-9]+", m[0])):
+            add(*m.span(), "value" if config or remark is None or m.start() < remark else "comment", None)
     if special:
-        out = [z for z in out if not any(z[0] <= s[0] and s[1] <= z[1] for s in special)] + special
+        out = [z for z in out if not any(z[0] < s[1] and s[0] < z[1] for s in special)] + special
     return sorted(out)
 
 
@@ -213,7 +241,7 @@ def _lower(text: str) -> str:
 
 
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
-_PEM_BODY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\\nr\"'+>|*#/-]*(?:[A-Za-z0-9+/=]{16,})")
+_PEM_BODY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[\s\\nr\"'+>|*#/;-]*[A-Z][A-Za-z0-9-]*: [^\n\\\"'`]*)*[\s\\nr\"'+>|*#/;-]*(?:[A-Za-z0-9+/=]{16,})")
 
 
 def find_in_text(model: dict, text: str, config: bool) -> list[tuple[int, int]]:
@@ -335,9 +363,13 @@ def training_lines(n: int, seed: int) -> Iterator[tuple[str, bool, list[tuple[in
             (f"dsn := {q}{url(user)}{q}", False), (f"url: {url(user)}", True), (f"URL={q}{url('${DB_PASS}')}{q}", True), (f"// curl -u svc_{w}:{user} https://{w}.invalid/facts", False),
             (f'req.Header.Set("Authorization", "Bearer {token}")', False), (f"headers = {{{q}Authorization{q}: {q}Bearer {token}{q}}}", False), (f"headers[{q}X-Api-Key{q}] = {q}{token}{q};", False), (f'h.Add("authorization", "Basic {token}")', False), (f'basic = "Basic {token}"', False),
             (f'conn, _ := dial("{w}.invalid", "svc_{w}", "«{secret}»")' if '"' not in secret else "", False), (f"await login({q}svc_{w}{q}, {q}«{secret}»{q});", False), (f"log.error({q}{w} failed{q}, {q}{_visible(r)}{q})", False), (f"// the {key} comes from the vault, see docs/{key}_rotation.md", False), (f"# todo({w}s): describe the {key}: later", False),
+            (f"// const {key} = {q}{v}{q};", False), (f"# {key}: {q}{v}{q}", r.random() < 0.5), (f'#define {key.upper()} "{v}"', False), (f'*cfg.{key} = "{v}"', False), (f'{w} := 1 // {key} = "{v}"', False), (f'-- {key} = "{v}"', False), (f"// we don't log {q}{_visible(r)}{q} as {key}", False),
+            (f"{r.choice(['//', '#', ' *', ';'])} use {r.choice(['', 'the key '])}«{_issued(r)}» on {w}", False), (f"{w}.run()  {r.choice(['//', '#'])} was «{_issued(r)}»", False), (f"{w} «{_issued(r)}» {w}", False),
+            (f"{r.choice(['//', '#', ' *'])} {r.choice(['Authorization: ', 'authorization=', ''])}{r.choice(['Bearer', 'Basic'])} {token}", False), (f"{r.choice(['//', '#'])} Authorization: {r.choice(['Bearer', 'Basic', 'Token'])} {r.choice(['<your-token-here>', '${' + w.upper() + '}', '$API_TOKEN', 'xxxxxxxxxxxx', 'YOUR_API_KEY', '{{token}}', 'authentication'])}", False), (f"{r.choice(['//', '#'])} {r.choice(['bearer', 'basic', 'Bearer', 'Basic'])} {r.choice(['authentication', 'credentials', 'authorization', 'functions', w + '_' + w])} for the {w}: {w}", False),
+            (f'curl -H "Authorization: Bearer {token}" https://{w}.invalid', False), (f"// curl -H {q}Authorization: Bearer {token}{q} https://{w}.invalid", False),
         ]
         if plain:
-            forms += [(f"{key}: {v}", True), (f"{key}={v}", True), (f"{key} = {v}", True), (f"export {key}={v}", True), (f"# old: {key}={v}", r.random() < 0.5), (f"// staging {key}: {v}", False), (f"// fallback {key.replace('_', ' ')}: {v}", False)] * 1
+            forms += [(f"{key}: {v}", True), (f"{key}={v}", True), (f"{key} = {v}", True), (f"export {key}={v}", True), (f"# old: {key}={v}", r.random() < 0.5), (f"// staging {key}: {v}", False), (f"// fallback {key.replace('_', ' ')}: {v}", False), (f"{w} := 1 // {key}: {v}", False), (f"{w} = 1  # {key} = {v}", False), (f"{key}: {v}  # rotate the {w}", True)]
         if given < 0.4 and " " not in secret and not re.search(r"[-+/=]", secret[max(0, cut - 1) : cut + 1]):
             forms += [(f'{key} := "«{secret[:cut]}" + "{secret[cut:]}»"', False), (f"{key} = '«{secret[:cut]}' + '{secret[cut:]}»'", False)]
         line, config = r.choice(forms)
