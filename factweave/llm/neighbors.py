@@ -4,7 +4,9 @@ An inverted file over k-means centroids holds every vector as a four-bit product
 score-aware anisotropic loss (the error along the vector costs more than that across it, since only the former moves large
 inner products). A code is spilled to the few partitions nearest to its vector, so a query looks in its own partition
 alone: it scans the codes there with per-query tables, two codes a byte, and reranks the best of them exactly. Only codes are
-spilled; full vectors travel only where a candidate list names them.
+spilled; full vectors travel only where a candidate list names them. The exact scores also tell how far the codes err: a query
+whose best could have been left out within that error (many vectors nearly equal, so that their codes tie) is compared exactly
+with all rows that a bound of angles leaves.
 """
 
 from __future__ import annotations
@@ -116,9 +118,9 @@ def tables(model: Model, q: np.ndarray) -> np.ndarray:
     return (lut[:, 1::2, :, None] + lut[:, 0::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
 
 
-def scan(model: Model, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, parts: np.ndarray, packed: np.ndarray, keep: int, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ``keep`` ids of the best table scores (itself left out), as (query number, id) pairs."""
-    rows, cand = [], []
+def scan(model: Model, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, parts: np.ndarray, packed: np.ndarray, keep: int, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the ``keep`` ids of the best table scores (itself left out), as (query number, id, score) triples."""
+    rows, cand, est = [], [], []
     base = model.centroids[np.unique(parts)]
     where = np.searchsorted(np.unique(parts), parts)
     columns = [np.ascontiguousarray(packed[:, b]) for b in range(packed.shape[1])]
@@ -129,10 +131,12 @@ def scan(model: Model, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, parts: n
             s += t[:, b, :][:, col]
         s[qid[lo : lo + step, None] == ids[None, :]] = -np.inf
         top = np.argpartition(-s, min(keep, s.shape[1] - 1), axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        ok = np.isfinite(np.take_along_axis(s, top, 1))
+        best = np.take_along_axis(s, top, 1)
+        ok = np.isfinite(best)
         rows.append((lo + np.nonzero(ok)[0]))
         cand.append(ids[top[ok]])
-    return np.concatenate(rows), np.concatenate(cand)
+        est.append(best[ok])
+    return np.concatenate(rows), np.concatenate(cand), np.concatenate(est)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int, kind: type) -> np.ndarray:
@@ -152,12 +156,15 @@ def usable(vectors: DataFrame, key: str, embedding: str, dim: int) -> DataFrame:
 
 
 def split_crowds(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows to index, answers of the rest): of exact copies of one vector only the k+1 smallest ids need be searched.
+    """(rows to index, answers of the rest): of vectors with one and the same unit vector only the k+1 smallest ids need be searched.
 
     Every other copy has the k smallest of them as its most similar vectors. The smallest ids are found by k+1 partially
     aggregated minima, so a vector that a third of all rows share is never gathered in one task.
     """
-    keyed = rows.withColumn("h", F.xxhash64("e"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # The length is bound by a lambda, else it would be computed anew for each number.
+    directions = F.transform(F.array(length), lambda n: F.transform("e", lambda x: x.cast("double") / n))
+    keyed = rows.select("id", F.xxhash64(directions[0]).alias("h"))
     crowds = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h")
     if crowds.isEmpty():
         return rows, None
@@ -171,7 +178,7 @@ def split_crowds(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(rest.select("id"), "id", "left_anti"), answers
 
 
-def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", dim: int = 64, k: int = 5, sample_rows: int = 20_000, rows_per_part: int = 512, max_parts: int = 4096, spill: int = 6, keep: int = 32, width: int = 2, threshold: float = 0.2, query_block: int = 8192, code_block: int = 1 << 17) -> DataFrame:
+def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", dim: int = 64, k: int = 5, sample_rows: int = 20_000, rows_per_part: int = 512, max_parts: int = 4096, spill: int = 6, keep: int = 32, width: int = 2, threshold: float = 0.2, doubt: float = 3.0, query_block: int = 8192, code_block: int = 1 << 17) -> DataFrame:
     """key, near, score, rank: the k vectors of highest cosine similarity to every usable vector (ties: the smaller id).
 
     The index is fitted on at most about ``sample_rows`` rows and holds every row. Rows whose embedding is null, of another
@@ -225,44 +232,50 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     def scan_block(left: pa.Table, right: pa.Table) -> pa.Table:
         m = Model(*shared.value)
         if not left.num_rows or not right.num_rows:
-            return pa.table({"home": pa.array([], pa.int32()), "qb": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"home": pa.array([], pa.int32()), "qb": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "est": pa.array([], pa.list_(pa.float32())), "floor": pa.array([], pa.float32())})
         qid = left.column("id").to_numpy()
         packed = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        row, near = scan(m, qid, unit(_matrix(left.column("vec"), dim, np.float32)), right.column("id").to_numpy(), right.column("part").to_numpy(), packed, keep)
+        row, near, est = scan(m, qid, unit(_matrix(left.column("vec"), dim, np.float32)), right.column("id").to_numpy(), right.column("part").to_numpy(), packed, keep)
         # One row a query: its candidates as a list (``row`` is in order).
         ends = np.searchsorted(row, np.arange(len(qid) + 1))
+        # No code left out scores above the floor; if none was left out there is no floor.
+        floor = np.array([est[a:b].min() if b - a >= keep else -np.inf for a, b in zip(ends[:-1], ends[1:], strict=True)], np.float32)
         same = lambda c: pa.array(np.full(len(qid), left.column(c)[0].as_py(), np.int32))
-        return pa.table({"home": same("home"), "qb": same("qb"), "id": pa.array(qid), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near, pa.int64()))})
+        return pa.table({"home": same("home"), "qb": same("qb"), "id": pa.array(qid), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near, pa.int64())), "est": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(est, pa.float32())), "floor": pa.array(floor)})
 
     by = ["home", "qb", "cb"]
-    candidates = checkpoint(scanned.groupBy(*by).cogroup(codes.groupBy(*by)).applyInArrow(scan_block, "home int, qb int, id long, near array<long>"))
+    candidates = checkpoint(scanned.groupBy(*by).cogroup(codes.groupBy(*by)).applyInArrow(scan_block, "home int, qb int, id long, near array<long>, est array<float>, floor float"))
     # A full vector goes once to every block that names it.
     named = candidates.select("home", "qb", F.explode("near").alias("id")).distinct().join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec").toDF("home", "qb", "id", "vec")
     # A query has a list from each block of codes it was scanned against, nearly always one.
-    lists = candidates if max(c for *_, c in plan) == 1 else candidates.groupBy("home", "qb", "id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    listed = lists.join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec", "near").toDF("home", "qb", "id", "vec", "near")
+    lists = candidates if max(c for *_, c in plan) == 1 else candidates.groupBy("home", "qb", "id").agg(F.collect_list(F.struct("near", "est")).alias("l"), F.max("floor").alias("floor")).select("home", "qb", "id", F.flatten("l.near").alias("near"), F.flatten("l.est").alias("est"), "floor")
+    listed = lists.join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec", "near", "est", "floor").toDF("home", "qb", "id", "vec", "near", "est", "floor")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, ns, ss, rs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int32)]
+        qs, ns, ss, rs, us = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
         if left.num_rows and right.num_rows:
             ids = right.column("id").to_numpy()
             order = np.argsort(ids)
             x = unit(_matrix(right.column("vec"), dim, np.float32).astype(np.float64))
             q = unit(_matrix(left.column("vec"), dim, np.float32).astype(np.float64))
-            for i, (qid, near) in enumerate(zip(left.column("id").to_pylist(), left.column("near").to_pylist(), strict=True)):
-                near = np.unique(np.array(near, np.int64))
+            for i, (qid, near, est, floor) in enumerate(zip(*(left.column(c).to_pylist() for c in ("id", "near", "est", "floor")), strict=True)):
+                near, first = np.unique(np.array(near, np.int64), return_index=True)
                 score = x[order[np.searchsorted(ids, near, sorter=order)]] @ q[i]
                 top = np.lexsort((near, -score))[:k]
                 qs.append(np.full(len(top), qid, np.int64))
                 ns.append(near[top])
                 ss.append(score[top])
                 rs.append(np.arange(1, len(top) + 1, dtype=np.int32))
-        return pa.table({key: np.concatenate(qs), "near": np.concatenate(ns), "score": np.concatenate(ss), "rank": np.concatenate(rs)})
-
-    found = listed.groupBy("home", "qb").cogroup(named.groupBy("home", "qb")).applyInArrow(rerank, out)
-    wanting = indexed.join(lists.select("id", F.size(F.array_distinct("near")).alias("n")).where(F.col("n") >= min(k, n - 1)).select("id"), "id", "left_anti").select("id", "vec")
+                err = score - np.array(est)[first]
+                us.append(np.full(len(top), len(near) < min(keep, n - 1) or score[top[-1]] - floor < err.mean() + doubt * err.std() + 1e-6))
+        return pa.table({key: np.concatenate(qs), "near": np.concatenate(ns), "score": np.concatenate(ss), "rank": np.concatenate(rs), "unsure": np.concatenate(us)})
+
+    found = checkpoint(listed.groupBy("home", "qb").cogroup(named.groupBy("home", "qb")).applyInArrow(rerank, f"{out}, unsure boolean"))
+    last = found.where(F.col("rank") == min(k, n - 1)).select(F.col(key).alias("id"), "score", "unsure")
+    found = found.drop("unsure")
+    wanting = indexed.join(last.where("not unsure"), "id", "left_anti").join(last.select("id", F.col("score").alias("low")), "id", "left").select("id", "vec", F.coalesce("low", F.lit(-1.0)).alias("low"), "part")
     if not wanting.isEmpty():
-        # A partition with too few codes: its queries are compared with every row, exactly.
+        # A partition with too few codes, or too many that the tables can not tell apart: its queries are compared exactly.
         wanting = checkpoint(wanting)
         found = found.join(wanting.select(F.col("id").alias(key)), key, "left_anti").unionByName(_against_all(wanting, indexed, key, dim, k, out))
     if crowd_answers is None:
@@ -272,35 +285,60 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     return found.unionByName(ranked.withColumn("rank", place.cast("int")))
 
 
-def _against_all(queries: DataFrame, indexed: DataFrame, key: str, dim: int, k: int, out: str, block: int = 4096) -> DataFrame:
-    """A stated query set against all rows, in blocks: each task keeps its k best per query, then the best of those are kept."""
+def _against_all(queries: DataFrame, indexed: DataFrame, key: str, dim: int, k: int, out: str, block: int = 512, at_once: int = 1 << 16) -> DataFrame:
+    """A stated query set (id, vec, low, part) against all rows: each task keeps its k best per query, then the best of those are kept.
+
+    ``low`` is a score that k other rows reach. A block of queries of one part lies within an angle of its mean, so rows farther from
+    the mean than that and the angle of the least ``low`` together are no query's nearest and are not compared.
+    """
     spark = queries.sparkSession
-    parts, block_rows = [], []
+    parts: list[DataFrame] = []
 
-    def one(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), b"".join(bytes(r[1]) for r in rows)))
+    def one(blocks: list[list]) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(np.array([r[0] for r in rows], np.int64), b"".join(bytes(r[1]) for r in rows), min(r[2] for r in rows)) for rows in blocks])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid = shared.value[0]
-            q = unit(np.frombuffer(shared.value[1], np.float32).reshape(-1, dim).astype(np.float64))
+            state = []
+            for qid, raw, low in shared.value:
+                q = unit(np.frombuffer(raw, np.float32).reshape(-1, dim).astype(np.float64))
+                pivot = unit(q.mean(0, keepdims=True))[0]
+                reach = np.arccos(np.clip((q @ pivot).min(), -1, 1)) + np.arccos(np.clip(low, -1, 1)) + 1e-6
+                state.append([qid, q, pivot, np.cos(reach) if reach < np.pi else -2.0, np.full((len(qid), k), -np.inf), np.full((len(qid), k), -1, np.int64)])
             for b in batches:
-                ids = b.column(0).to_numpy()
-                s = q @ unit(_matrix(b.column(1), dim, np.float32).astype(np.float64)).T
-                s[qid[:, None] == ids[None, :]] = -np.inf
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                score = np.take_along_axis(s, top, 1)
+                if not b.num_rows:
+                    continue
+                all_ids = b.column(0).to_numpy()
+                x = unit(_matrix(b.column(1), dim, np.float32).astype(np.float64))
+                for entry in state:
+                    qid, q, pivot, bound, score, best = entry
+                    close = np.nonzero(x @ pivot >= bound)[0]
+                    if not len(close):
+                        continue
+                    ids = all_ids[close]
+                    s = q @ x[close].T
+                    s[qid[:, None] == ids[None, :]] = -np.inf
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                    score, best = np.hstack([score, np.take_along_axis(s, top, 1)]), np.hstack([best, ids[top]])
+                    order = np.lexsort((best, -score), axis=1)[:, :k]
+                    entry[4], entry[5] = np.take_along_axis(score, order, 1), np.take_along_axis(best, order, 1)
+            for qid, _, _, _, score, best in state:
                 ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[np.nonzero(ok)[0]]), pa.array(ids[top[ok]]), pa.array(score[ok])], names=[key, "near", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid[np.nonzero(ok)[0]]), pa.array(best[ok]), pa.array(score[ok])], names=[key, "near", "score"])
 
         return indexed.select("id", "vec").mapInArrow(compare, f"{key} long, near long, score double")
 
-    for row in queries.toLocalIterator():
-        block_rows.append(row)
-        if len(block_rows) == block:
-            parts.append(one(block_rows))
-            block_rows = []
-    if block_rows:
-        parts.append(one(block_rows))
+    blocks: list[list] = []
+    held, part = 0, None
+    for row in queries.orderBy("part").toLocalIterator():
+        if held == at_once:
+            parts.append(one(blocks))
+            blocks, held, part = [], 0, None
+        if part != row[3] or len(blocks[-1]) == block:
+            blocks.append([])
+            part = row[3]
+        blocks[-1].append(row)
+        held += 1
+    parts.append(one(blocks))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -98,3 +98,26 @@ def test_packed_tables_equal_decoding():
     got = sum(t[:, b, :][:, p[:, b]] for b in range(p.shape[1]))
     want = x[:3] @ m.books[np.arange(32), codes].reshape(200, 64).T
     assert np.allclose(got, want, atol=1e-4)
+
+
+@pytest.mark.parametrize("spread", [1e-4, 1e-3, 1e-2])
+def test_recall_in_a_group_of_near_copies(spark, spread):
+    """A third of all rows lie within a small distance of one another, at lengths far from 1."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4500, 64))
+    x[:1500] = x[0] / np.linalg.norm(x[0]) + spread / 8 * rng.normal(size=(1500, 64))
+    x = (x * rng.uniform(0.1, 9, (4500, 1))).astype(np.float32)
+    got: dict = {}
+    for q, n in rows(N.most_similar(frame(spark, x)), "vec_id", "near"):
+        got.setdefault(q, set()).add(n)
+    want = brute(x.astype(np.float64), np.arange(4500), 5)
+    assert sum(len(got[q] & set(want[q])) for q in range(1500)) / 7500 > 0.99 and all(len(got[q]) == 5 for q in range(4500))
+
+
+def test_copies_up_to_length(spark):
+    """Vectors that differ by a power of two in length alone have one unit vector and are one crowd."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(120, 64)).astype(np.float32)
+    x[:60] = x[0] * 2.0 ** (np.arange(60) % 9 - 4)[:, None]
+    kept, answers = N.split_crowds(frame(spark, x).toDF("id", "e", "a", "b").select("id", "e"), 5)
+    assert kept.count() == 66 and answers.count() == 54 * 5
