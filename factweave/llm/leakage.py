@@ -78,6 +78,23 @@ def pieces(n: int, run: int, share: float) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+@functools.lru_cache(maxsize=4096)
+def _grams(text: str, q: int) -> tuple[str, ...]:
+    return tuple(text[i : i + q] for i in range(len(text) - q + 1))
+
+
+def shares_grams(text: str, window: str, budget: int) -> bool:
+    """Whether a part of the window can be ``text`` with ``budget`` letters altered: each alters at most q of its runs of q letters."""
+    for q in (4, 3):
+        mine = _grams(text, q)
+        need = len(mine) - q * budget
+        if need > 0:
+            theirs = {window[i : i + q] for i in range(len(window) - q + 1)}
+            if sum(map(theirs.__contains__, mine)) < need:
+                return False
+    return True
+
+
 class Matcher:
     """The automaton over the pieces of a block of items. ``items`` are (id, words)."""
 
@@ -166,9 +183,11 @@ class Matcher:
             done.append((lo, hi))
             distance, _ = myers(iwords, words[lo:hi])
             best = max(best, 1 - distance / n)
-            if best < self.share and len({p for _, p, _ in places}) >= max(2, n // 12):
-                # Lost separators glue words together: where several pieces were hit, compare letters, with a budget of a fifth of them.
+            if best < self.share:
+                # Lost separators glue words together: compare letters, with a budget of a fifth of them.
                 a, b = max(0, end - place - 40), min(len(stream), end - place + len(istream) + 40)
+                if not shares_grams(istream, stream[a:b], len(istream) // 5):
+                    continue
                 letters, _ = myers(list(istream), list(stream[a:b]))
                 if letters <= len(istream) / 5:
                     best = max(best, 1 - letters / len(istream))

@@ -151,3 +151,15 @@ def test_long_texts(spark):
     df, _ = corpus(spark)
     long = spark.createDataFrame([(999, " ".join(SENTENCES["fr"]) * 3000, "c", None)], D)
     assert rows(L.identify(df.unionByName(long)).where("doc_id = 999"), "lang_code") == [("fr",)]
+
+
+def test_altered_and_glued_words_that_leave_few_pieces(spark):
+    """82 words, one letter altered in 16 of the 21 pieces, and words glued together there: only five pieces are hit."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(5, 9))) for _ in range(82)]
+    ends = [b for _, b in K.pieces(82, 15, 0.75)]
+    at = [b - 1 for i, b in enumerate(ends) if i not in (3, 7, 11, 15, 19)]
+    text = [w[:-1] + ("q" if w[-1] != "q" else "z") if i in at else w for i, w in enumerate(words)]
+    glued = "".join(w + ("" if i in at[::2] and i < 81 else " ") for i, w in enumerate(text))
+    it = spark.createDataFrame([(1, " ".join(words))], "item_id long, item_text string")
+    assert rows(K.find_leaks(docs(spark, [f"before {glued} after", "before " + " ".join(sorted(words))]), it), "doc_id", "item_id") == [(0, 1)]
