@@ -75,8 +75,7 @@ def boundaries(text: str, start: int, lo: int, hi: int, last: bool) -> list[int]
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, chunk: int = 1 << 17, overlap: int = 1 << 11) -> DataFrame:
     """key, ids: one row per row of ``docs``, without special tokens.
 
-    Null and empty texts have the empty list. Repeated rows give repeated rows, unless their texts are over ``chunk``
-    characters, where rows with the same key and text are one. Extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have the empty list. Repeated rows give repeated rows; keys may be null. Extra columns are ignored; an empty table gives an empty result.
     """
     folder = folder or tokenizer_dir()
     docs = own_columns(docs, key, text).toDF("k", "t")
@@ -99,7 +98,9 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name
 
 def encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: int) -> DataFrame:
     """The long texts of encode_corpus (columns k, t): chunk, pre-tokenise, stitch, encode, put together."""
-    ktype = docs.schema["k"].dataType.simpleString()
+    # Rows are told apart by a number of their own, since keys may be null or repeated; it is fixed by the checkpoint.
+    rows = checkpoint(docs.select("k", F.monotonically_increasing_id().alias("doc"), "t"))
+    docs, ktype = rows.select(F.col("doc").alias("k"), "doc", "t"), "bigint"
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +111,7 @@ def encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: in
                     yield pa.RecordBatch.from_arrays([pa.array(row[0], b.schema.field(0).type), *(pa.array(x, pa.int64()) for x in row[1:5]), pa.array(row[5], pa.string())], names=["k", "doc", "n", "i", "start", "part"])
 
     chunks = (
-        docs.withColumn("doc", F.xxhash64("t")).dropDuplicates(["k", "doc"]).select("k", "doc", "t").mapInArrow(cut_up, f"k {ktype}, doc long, n long, i long, start long, part string")
+        docs.mapInArrow(cut_up, f"k {ktype}, doc long, n long, i long, start long, part string")
         .repartition(default_tasks(docs.sparkSession), "k", "doc", "i")
     )
 
@@ -157,4 +158,5 @@ def encode_long(docs: DataFrame, name: str, folder: str, chunk: int, overlap: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["k", "doc", "run", "ids"])
 
     encoded = whole.select("k", "doc", "run", "lo", "hi", "n", "parts").mapInArrow(encode, f"k {ktype}, doc long, run long, ids array<int>")
-    return encoded.groupBy("k", "doc").agg(F.sort_array(F.collect_list(F.struct("run", "ids"))).alias("r")).select("k", F.flatten("r.ids").alias("ids"))
+    joined = encoded.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("run", "ids"))).alias("r")).select("doc", F.flatten("r.ids").alias("ids"))
+    return rows.select("k", "doc").join(joined, "doc").select("k", "ids")

@@ -163,3 +163,11 @@ def test_altered_and_glued_words_that_leave_few_pieces(spark):
     glued = "".join(w + ("" if i in at[::2] and i < 81 else " ") for i, w in enumerate(text))
     it = spark.createDataFrame([(1, " ".join(words))], "item_id long, item_text string")
     assert rows(K.find_leaks(docs(spark, [f"before {glued} after", "before " + " ".join(sorted(words))]), it), "doc_id", "item_id") == [(0, 1)]
+
+
+def test_long_texts_with_null_and_repeated_keys(spark):
+    text = "The quick brown fox. " * 80
+    df = spark.createDataFrame([(None, text), (7, text), (7, text), (8, text)], "doc_id long, text string")
+    got = [(r["doc_id"], list(r["ids"])) for r in T.encode_corpus(df, chunk=200, overlap=60).collect()]
+    want = list(T.encode_texts([text], "byte_bpe_50k", T.tokenizer_dir())[0])
+    assert sorted(str(k) for k, _ in got) == ["7", "7", "8", "None"] and all(ids == want for _, ids in got)
