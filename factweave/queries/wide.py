@@ -53,7 +53,7 @@ def _wide_column(name: str, kind: str) -> str:
     return f"CAST({cell} AS {kind}) AS {name}"
 
 
-QUERIES = {"p3_found": p3_found, "p3_wide": lambda spark, sf_dir: p3_wide(spark, sf_dir).drop("last_modified")}
+QUERIES = {"p3_found": p3_found, "p3_wide": lambda spark, sf_dir: p3_wide(spark, sf_dir).drop("last_modified"), "p3_wide_all": p3_wide}
 SQL = {
     "p3_found": _TYPED + "SELECT ref_subject, attr_name, cell FROM best WHERE rn = 1",
     "p3_wide": _TYPED + "SELECT ref_subject, " + ", ".join(_wide_column(n, k) for n, k in ATTRIBUTES.items() if n != "last_modified") + " FROM best WHERE rn = 1 GROUP BY ref_subject",

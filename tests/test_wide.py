@@ -51,3 +51,10 @@ def test_empty_tables(spark):
 
 def test_very_long_value(spark):
     assert len(got(spark, [("a", "name", "x" * 200_000, T[0])])[("a", "name")]) == 200_000
+
+
+def test_the_registered_wide_table_has_every_attribute(spark, small):
+    from factweave.queries.wide import ATTRIBUTES, QUERIES
+
+    wide = QUERIES["p3_wide_all"](spark, small)
+    assert set(wide.columns) == {"ref_subject", *ATTRIBUTES} and wide.where("last_modified is not null").count() > 0
