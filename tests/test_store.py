@@ -137,7 +137,7 @@ def test_registry(spark, tmp_path):
     assert fill('"{v}"', {"v": "a'b\"c"}) == '"a\\\'b\\"c"' and read_rules("") == []
 
 
-@pytest.mark.parametrize("question,intent,target", [("Who calls Engine.Run?", "who_calls", "Engine.Run"), ("What does Parse call?", "what_calls", "Parse"), ("path from A to B", "how_reaches", "A"), ("Where is Store defined?", "find", "Store"), ("any security problems?", "security", None), ("hello there", "general", None), ("explain graph.go", "explain", "graph.go")])
+@pytest.mark.parametrize("question,intent,target", [("Who calls Engine.Run?", "who_calls", "Engine.Run"), ("What does Parse call?", "what_calls", "Parse"), ("path from A to B", "how_reaches", "A"), ("Where is Store defined?", "find", "Store"), ("any security problems?", "security_audit", None), ("hello there", "chat", None), ("explain graph.go", "explain", "graph.go"), ("callees of Store.Open", "what_calls", "Store.Open"), ("How does Login reach Query?", "how_reaches", "Login"), ("summarize pkg/a.go", "summarize", "pkg/a.go"), ("write tests for Parser", "test_generation", "Parser"), ("how can I simplify engine.go", "refactor", "engine.go"), ("why is Scan slow", "performance", "Scan"), ("", "chat", None)])
 def test_intents(question, intent, target):
     i = nl.classify(question)
     assert i.name == intent and (target is None or i.targets[0] == target)
