@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
+from collections import OrderedDict
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -35,13 +38,46 @@ def check_text(value: str, limit: int = 500, name: str = "text") -> str:
     return value
 
 
+class RowCache:
+    """Kept results: a row set lives ``seconds`` and at most ``most`` are kept, the oldest going first.
+
+    The rows are persisted by Spark (memory, then disk) when they are first read; a part that is lost with its executor is computed
+    again from the lineage.
+    """
+
+    def __init__(self, seconds: float | None = 300.0, most: int = 1000, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.most, self.clock = seconds, most, clock
+        self.kept: OrderedDict[tuple, tuple[float, DataFrame]] = OrderedDict()
+
+    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key in self.kept:
+            at, rows = self.kept[key]
+            if self.seconds is None or self.clock() - at < self.seconds:
+                return rows
+            self._drop(key)
+        rows = make().persist()
+        self.kept[key] = (self.clock(), rows)
+        while len(self.kept) > self.most:
+            self._drop(next(iter(self.kept)))
+        return rows
+
+    def _drop(self, key: tuple) -> None:
+        self.kept.pop(key)[1].unpersist()
+
+    def clear(self) -> None:
+        for key in list(self.kept):
+            self._drop(key)
+
+
 class Engine:
     """facts (topic, s, p, o); documents (doc_id, content), symbols (id, content) and vectors (id, embedding) are optional."""
 
     def __init__(self, facts: DataFrame, documents: DataFrame | None = None, symbols: DataFrame | None = None, vectors: DataFrame | None = None, project: str = ""):
         self.store, self.facts, self.project = FactStore(facts), facts, project
         self.documents, self.symbols_text, self.vectors = documents, symbols, vectors
-        self.registry, self._cache = Registry(), {}
+        self.registry = Registry()
+        # Answers of queries age; the map and the calls of files stay until facts are written.
+        self._cache, self._views = RowCache(), RowCache(seconds=None)
         self.spark = facts.sparkSession
 
     @cached_property
@@ -51,18 +87,18 @@ class Engine:
 
     # Queries
     def query(self, text: str, limit: int = schema.RESULT_LIMIT, topic: int | None = None) -> DataFrame:
-        """Rows of a query or of a named query; the plan is kept by topic, text and limit."""
-        key = (topic, text.strip(), limit)
-        if key not in self._cache:
+        """Rows of a query or of a named query; they are kept by topic, text and limit."""
+
+        def make() -> DataFrame:
             facts = self.facts if topic is None else self.facts.where(F.col("topic") == topic)
             if text.strip() in self.registry.queries:
-                self._cache[key] = self.registry.execute(text.strip(), facts, limit=limit)
-            else:
-                problem = validate(text)
-                if problem:
-                    raise QueryError(problem)
-                self._cache[key] = compiler.compile_query(text, facts, limit)
-        return self._cache[key]
+                return self.registry.execute(text.strip(), facts, limit=limit)
+            problem = validate(text)
+            if problem:
+                raise QueryError(problem)
+            return compiler.compile_query(text, facts, limit)
+
+        return self._cache.get((topic, text.strip(), limit), make)
 
     def query_graph(self, text: str, drop_tests: bool = False) -> tuple[DataFrame, DataFrame]:
         rows = self.query(text)
@@ -75,8 +111,9 @@ class Engine:
         return self.registry.execute(name, self.facts, values)
 
     def invalidate(self) -> None:
-        """Forget kept plans and the call graph, after facts were written."""
+        """Forget kept rows and the call graph, after facts were written."""
         self._cache.clear()
+        self._views.clear()
         self.__dict__.pop("edges", None)
 
     # Listings
@@ -109,23 +146,24 @@ class Engine:
 
     def graph_page(self, cursor: dict | None = None) -> tuple[DataFrame, DataFrame, dict | None]:
         """One page of the whole graph, and the cursor of the next (None at the end)."""
-        at = {"offset": 0, "limit": 100} | (cursor or {})
+        at = {"offset": 0, "limit": 100, "after": None} | (cursor or {})
         nodes, links = filegraph.graph_of_rows(self.facts, "s", "p", "o", self.facts)
-        part, inside = filegraph.page(nodes, links, at["offset"], at["limit"])
-        more = nodes.orderBy("id").offset(at["offset"] + at["limit"]).limit(1).count() > 0
-        return part, inside, {"offset": at["offset"] + at["limit"], "limit": at["limit"], "sort_by": "id"} if more else None
+        part, inside = filegraph.page(nodes, links, at["offset"], at["limit"], at["after"])
+        last = part.agg(F.max("id")).head()[0]
+        more = last is not None and not nodes.where(F.col("id") > last).isEmpty()
+        return part, inside, {"offset": at["offset"] + at["limit"], "limit": at["limit"], "after": last, "sort_by": "id"} if more else None
 
     def manifest(self) -> tuple[DataFrame, DataFrame]:
         return hydrate.manifest(self.facts)
 
     def map(self) -> DataFrame:
-        return filegraph.project_map(self.facts)
+        return self._views.get(("map",), lambda: filegraph.project_map(self.facts))
 
     def file_details(self, file: str) -> tuple[DataFrame, DataFrame]:
         return filegraph.file_details(self.facts, file)
 
     def file_calls(self, file: str, depth: int = 2) -> DataFrame:
-        return filegraph.file_calls(self.edges, self.facts, file, depth)
+        return self._views.get(("calls", file, depth), lambda: filegraph.file_calls(self.edges, self.facts, file, depth))
 
     def file_backbone(self, file: str) -> DataFrame:
         return filegraph.file_backbone(self.edges, file)
@@ -212,11 +250,20 @@ class Engine:
                 rows = rows.unionByName(p, allowMissingColumns=True)
             rows = rows.distinct()
         shown = [r.asDict() for r in rows.limit(schema.RESULT_LIMIT).collect()]
-        return {"intent": intent.name, "confidence": intent.confidence, "queries": queries, "answer": nl.answer(intent, shown, len(shown))}
+        # The rows shown are bounded, their number is not.
+        total = len(shown) if len(shown) < schema.RESULT_LIMIT else rows.count()
+        return {"intent": intent.name, "confidence": intent.confidence, "queries": queries, "total": total, "answer": nl.answer(intent, shown, total)}
 
     def run_plan(self, plan: str | list[agent.Step]) -> list[agent.Step]:
         return agent.Plan(self.facts, agent.read_plan(plan) if isinstance(plan, str) else plan).execute()
 
+    def work(self, request: str, act: Callable[[agent.Turn], str] | None = None) -> agent.Turn:
+        """One turn of the loop: observe, orient, decide, verify, act (by default an answer from the rows)."""
+        return agent.Loop(self.facts, lambda text: search.names_like(self.facts, text), act or (lambda turn: self.ask(turn.request)["answer"])).run(check_text(request, agent.MAX_CHARS, "request"))
+
+    def symbol_files(self, names: DataFrame) -> DataFrame:
+        return filegraph.symbol_files(self.facts, names)
+
     def _documents(self) -> DataFrame:
         if self.documents is None:
             raise QueryError("the engine has no documents")

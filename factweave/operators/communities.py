@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as X
 from factweave.schema import CLUSTER_FROM
-from factweave.session import checkpoint
+from factweave.session import checkpoint, with_index
 
 
 def communities(edges: DataFrame, resolution: float = 0.2, rounds: int = 10) -> DataFrame:
@@ -41,8 +41,8 @@ def communities(edges: DataFrame, resolution: float = 0.2, rounds: int = 10) ->
 
 
 def numbered(members: DataFrame) -> DataFrame:
-    """node, cluster_id: communities numbered from 0 by their smallest node. Only the communities are ranked, not the nodes."""
-    ids = members.select("community").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("community")) - 1)
+    """node, cluster_id: communities numbered from 0 by their smallest node. Only the communities are ranked, range by range."""
+    ids = with_index(members.select("community").distinct(), ["community"], "cluster_id")
     return members.join(ids, "community").select("node", "cluster_id")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import text as X
 from factweave.schema import IGNORED_PREDICATES, LITERAL_BYTES, PACKAGE_FILES
+from factweave.session import with_index
 
 
 def _links(df: DataFrame) -> DataFrame:
@@ -119,10 +122,17 @@ def attributes(facts: DataFrame, ids: DataFrame, predicates: list[str]) -> DataF
     return rows.groupBy(F.col("s").alias("id")).agg(*(F.min(F.when(F.col("p") == p, F.trim("o"))).alias(p) for p in predicates))
 
 
-def page(nodes: DataFrame, links: DataFrame, offset: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """One page of nodes by id and the links within it. Nodes before the page are never ranked in one task: it is a top-k."""
+def page(nodes: DataFrame, links: DataFrame, offset: int = 0, limit: int = 100, after: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of nodes by id and the links within it.
+
+    With ``after`` (the last id of the page before) the page is a top-k of the ids beyond it. A page by its offset is cut out of the
+    nodes' places in the order, which are counted range by range.
+    """
     limit = max(1, min(limit, 1000))
-    part = nodes.orderBy("id").offset(offset).limit(limit)
+    if after is not None or offset == 0:
+        part = nodes.where(F.col("id") > after if after is not None else F.lit(True)).orderBy("id").limit(limit)
+    else:
+        part = with_index(nodes, ["id"], "place").where(F.col("place").between(offset, offset + limit - 1)).drop("place")
     ids = part.select("id")
     inside = links.join(F.broadcast(ids.select(F.col("id").alias("source"))), "source", "left_semi").join(F.broadcast(ids.select(F.col("id").alias("target"))), "target", "left_semi")
     return part, inside
@@ -130,3 +140,53 @@ def page(nodes: DataFrame, links: DataFrame, offset: int = 0, limit: int = 100)
 
 def merge_graphs(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.unionByName(b).dropDuplicates(key)
+
+
+def symbol_files(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, file: the file of every symbol name (column target), null where none fits.
+
+    In this order: the part before the colon if that is a source path; the (least) file that defines the id; of the symbols whose
+    name is the part after the last dot the best one's file: ids that contain the name and are under 50 characters score higher,
+    then the smaller id. Three left joins, the last two on one row a key.
+    """
+    t = targets.select("target").where("target is not null").distinct()
+    head = F.substring_index("target", ":", 1)
+    prefix = F.when(F.col("target").contains(":") & X.is_source_path(head), head)
+    defines = facts.where("p = 'defines'").groupBy(F.col("o").alias("id")).agg(F.min("s").alias("defined"))
+    file_of = lambda c, d: F.coalesce(F.when(F.col(c).contains(":") & X.is_source_path(F.substring_index(c, ":", 1)), F.substring_index(c, ":", 1)), F.col(d))
+    named = facts.where("p = 'has_name'").select(F.col("s").alias("id"), F.col("o").alias("short")).distinct().join(defines, "id", "left").withColumn("file", file_of("id", "defined")).where("file is not null")
+    score = F.col("id").contains(F.col("short")).cast("int") + (F.length("id") < 50).cast("int")
+    best = named.groupBy("short").agg(F.min(F.struct((-score).alias("n"), "id", "file")).alias("b")).select("short", F.col("b.file").alias("by_name"))
+    rows = t.withColumn("short", F.substring_index("target", ".", -1)).join(defines.select(F.col("id").alias("target"), "defined"), "target", "left").join(best, "short", "left")
+    return rows.select("target", F.coalesce(prefix, "defined", "by_name").alias("file"))
+
+
+def project_file_of(path: Column | str, project: str) -> Column:
+    """The place within a project that an import path names, or an empty text: what follows the project's name in the path.
+
+    A path that begins with the name loses it and the slash behind it; of one of three parts or more that has the name anywhere, all
+    but the first part counts; any other path is external.
+    """
+    p = F.col(path) if isinstance(path, str) else path
+    parts = F.split(p, "/")
+    after = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/")
+    return F.when(p.startswith(project), F.regexp_replace(p, "^" + re.escape(project + "/"), "")).when((F.size(parts) >= 3) & p.contains(project), after).otherwise("")
+
+
+def internal_nodes(nodes: DataFrame, documents: DataFrame, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """nodes (column id) with is_internal: the file before the colon has content, or begins with a known prefix."""
+    have = documents.where("length(content) > 0").select(F.col("doc_id").alias("base")).distinct().withColumn("known", F.lit(True))
+    known = F.coalesce("known", F.lit(False))
+    for x in prefixes:
+        known = known | F.col("base").startswith(x)
+    return nodes.withColumn("base", F.substring_index("id", ":", 1)).join(have, "base", "left").withColumn("is_internal", known).drop("base", "known")
+
+
+def enriched_nodes(nodes: DataFrame, facts: DataFrame, contents: DataFrame) -> DataFrame:
+    """nodes (id, ...) with kind, package, tags (in order) and code merged in by id; kind only where the node has none."""
+    about = attributes(facts, nodes.select("id").distinct(), ["has_kind", "in_package"]).select("id", F.col("has_kind").alias("_kind"), F.col("in_package").alias("package"))
+    tags = facts.where("p = 'has_tag'").select(F.col("s").alias("id"), "o").join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("o")).alias("tags"))
+    code = contents.groupBy("id").agg(F.min("content").alias("code"))
+    rows = nodes.join(about, "id", "left").join(tags, "id", "left").join(code, "id", "left")
+    kind = F.coalesce(F.when(F.col("kind") != "", F.col("kind")), "_kind", F.lit("")) if "kind" in nodes.columns else F.coalesce("_kind", F.lit(""))
+    return rows.withColumn("kind", kind).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).drop("_kind")

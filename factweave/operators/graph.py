@@ -68,6 +68,9 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, until: str | None =
         step = edges.join(_hint(frontier.select(F.col("node").alias("src")), rows), "src").select(F.col("dst").alias("node")).distinct()
         frontier = checkpoint(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         visited = visited.unionByName(frontier)
+        if d % 8 == 0:
+            # Else the plan would grow with every round of a deep graph.
+            visited = checkpoint(visited)
         if until is not None and not frontier.where(F.col("node") == until).isEmpty():
             break
     return visited
@@ -160,25 +163,29 @@ def cheapest_path(edges: DataFrame, source: str, target: str, depth: int = 10, b
     empty = spark.createDataFrame([], "step int, node string, relation string, cost int")
     if source == target:
         return empty
-    best = checkpoint(nodes_frame(spark, source).select("node", F.lit(0).alias("cost"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("relation")))
-    active = best
+    # Which neighbours are followed does not depend on the frontier, so it is decided once; a task keeps ``branching`` rows a node before
+    # the shuffle. The edges then lie in the shared folder and no round derives or shuffles them again.
+    rank = F.row_number().over(_window(["src"], ["cost", "dst", "relation"]))
+    edges = checkpoint(edges.select("src", "dst", "relation", "cost", rank.alias("rank")).where(F.col("rank") <= branching).drop("rank"))
+    # ``best`` is a log: the offers of each round that were cheaper than all before.
+    best = active = nodes_frame(spark, source).select("node", F.lit(0).alias("cost"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("relation"))
+    rows, goal = 1, None
     for _ in range(depth):
-        rows = active.count()
-        if rows == 0:
-            break
         near = edges.join(_hint(active.select(F.col("node").alias("src"), F.col("cost").alias("so_far")), rows), "src")
-        rank = F.row_number().over(_window(["src"], ["cost", "dst", "relation"]))
-        near = near.withColumn("rank", rank).where(F.col("rank") <= branching)
         offer = near.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("before"), "relation")).alias("m")).select("node", "m.cost", "m.before", "m.relation")
-        better = offer.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old is null or cost < old").drop("old")
-        goal = best.where(F.col("node") == target).select("cost").head()
-        if goal:
-            better = better.where(F.col("cost") < goal[0])
+        old = best.groupBy("node").agg(F.min("cost").alias("old"))
+        better = offer.join(old, "node", "left").where("old is null or cost < old").drop("old")
+        if goal is not None:
+            better = better.where(F.col("cost") < goal)
         active = checkpoint(better)
-        best = checkpoint(best.join(active.select("node"), "node", "left_anti").unionByName(active.select(*best.columns)))
+        rows, reached = active.agg(F.count(F.lit(1)), F.min(F.when(F.col("node") == target, F.col("cost")))).head()
+        goal = reached if reached is not None else goal
+        if rows == 0:
+            break
+        best = best.unionByName(active.select(*best.columns))
     path, here = [], target
     while here != source:
-        row = best.where(F.col("node") == here).head()
+        row = best.where(F.col("node") == here).orderBy("cost").head()
         if row is None:
             return empty
         path.append((here, row["relation"], row["cost"]))
@@ -193,16 +200,14 @@ def _window(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def trim(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def trim(edges: DataFrame) -> DataFrame:
     """The edges that can lie on a cycle: sources and sinks are peeled off until none is left."""
     edges = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
-    n = edges.count()
-    for _ in range(rounds):
+    n, m = edges.count(), -1
+    while n != m:
         kept = checkpoint(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        m = kept.count()
-        if m == n:
-            break
-        edges, n = kept, m
+        n, m = kept.count(), n
+        edges = kept
     return edges
 
 
@@ -259,15 +264,16 @@ def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == order[node]:
-                    at = open_nodes.index(node)
-                    members = open_nodes[at:]
-                    del open_nodes[at:]
+                    members = [open_nodes.pop()]
+                    while members[-1] != node:
+                        members.append(open_nodes.pop())
                     is_open.difference_update(members)
-                    out += [(m, min(members)) for m in members]
+                    least = min(members)
+                    out += [(m, least) for m in members]
     return pd.DataFrame(out, columns=["node", "component"])
 
 
-def components(edges: DataFrame, rounds: int = 1000, one_task_edges: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, one_task_edges: int = 200_000) -> DataFrame:
     """node, component: strongly connected components; the component is its smallest node.
 
     Of a larger graph the edges that cannot lie on a cycle are peeled off first. If at most ``one_task_edges`` are left, one task finds
@@ -283,9 +289,7 @@ def components(edges: DataFrame, rounds: int = 1000, one_task_edges: int = 200_0
         ship(edges.sparkSession)
         found = links.withColumn("graph", F.lit(1)).groupBy("graph").applyInPandas(_tarjan, "node string, component string")
         return rest.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    for _ in range(rounds):
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         live = checkpoint(links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")))
         while True:
             offer = links.join(live.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.text import number_of, symbol_file
@@ -43,14 +43,31 @@ def node_metadata(facts: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.distinct().join(meta.withColumnRenamed("s", "id"), "id", "left").join(kids.withColumnRenamed("s", "id"), "id", "left").select("id", F.trim(F.try_element_at("metadata", F.lit("has_kind"))).alias("kind"), "metadata", F.coalesce("children_count", F.lit(0)).alias("children_count"))
 
 
-def context_block(facts: DataFrame, ids: DataFrame, most: int = 5) -> DataFrame:
-    """id, relation (defines, called_by, calls), node: at most ``most`` of each, the smallest ids: a report, so the limit is its form."""
+#: A context block shows this many characters of a text.
+BLOCK_CHARS = 2000
+
+
+def context_text(content: Column | str) -> Column:
+    """A content as a context block shows it: cut after BLOCK_CHARS characters, and then marked as cut."""
+    c = F.col(content) if isinstance(content, str) else content
+    return F.when(F.length(c) > BLOCK_CHARS, F.concat(F.substring(c, 1, BLOCK_CHARS), F.lit("\n... (truncated)"))).otherwise(c)
+
+
+def context_block(facts: DataFrame, ids: DataFrame, most: int = 5, contents: DataFrame | None = None) -> DataFrame:
+    """id, relation (defines, called_by, calls), node: at most ``most`` of each, the smallest ids: a report, so the limit is its form.
+
+    With ``contents`` (id, content) there is a row content, too, whose node is the text as context_text shows it.
+    """
     ids = ids.select("id").distinct()
     out = facts.where("p in ('calls', 'defines')").select(F.col("s").alias("id"), F.col("p").alias("relation"), F.col("o").alias("node")).join(ids, "id", "left_semi")
     back = facts.where("p = 'calls'").select(F.col("o").alias("id"), F.lit("called_by").alias("relation"), F.col("s").alias("node")).join(ids, "id", "left_semi")
     rows = out.unionByName(back).distinct()
     rank = F.row_number().over(Window.partitionBy("id", "relation").orderBy("node"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    if contents is None:
+        return rows
+    texts = contents.join(ids, "id", "left_semi").groupBy("id").agg(F.min("content").alias("content"))
+    return rows.unionByName(texts.where("content is not null").select("id", F.lit("content").alias("relation"), context_text("content").alias("node")))
 
 
 def manifest(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,10 +78,20 @@ def manifest(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.groupBy("file").agg(F.count(F.lit(1)).alias("n_symbols")), d.groupBy(short_name("symbol").alias("name")).agg(F.max("symbol").alias("id"))
 
 
-def summary(rows: DataFrame, s: str, p: str, top: int = 10) -> DataFrame:
-    """kind (predicate or subject), value, n: the most frequent of each among result rows."""
+def summary(rows: DataFrame, s: str, p: str, top: int = 10, samples: int = 20, large: int = 50) -> DataFrame:
+    """kind, value, n: a report on result rows.
+
+    total (value null) with the number of rows; predicate and subject with the ``top`` most frequent of each; sample with the first rows
+    in order as text: all of them below ``large`` rows, else ``samples``.
+    """
     out = None
     for kind, c in (("predicate", p), ("subject", s)):
         one = rows.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(top).select(F.lit(kind).alias("kind"), "value", "n")
         out = one if out is None else out.unionByName(one)
-    return out
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    cols = sorted(rows.columns)
+    text = F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in cols))
+    # At most large - 1 rows can ever be shown; which of them are depends on the total.
+    first = rows.select(text.alias("value")).orderBy("value").limit(large - 1).withColumn("place", F.row_number().over(Window.orderBy("value")))
+    shown = first.crossJoin(F.broadcast(total)).where((F.col("n") < large) | (F.col("place") <= samples)).select(F.lit("sample").alias("kind"), "value", F.lit(1).cast("long").alias("n"))
+    return out.unionByName(total.select(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("value"), "n")).unionByName(shown)

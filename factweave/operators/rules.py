@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import number_of, short_name
 from factweave.operators import graph as G
+from factweave.session import checkpoint
 
 FINDING = ("file", "rule", "type", "symbol", "severity", "message")
 
@@ -174,6 +175,7 @@ class Rules:
         self.facts = facts.select("s", "p", "o")
         self.spark = facts.sparkSession
         self.defines = self.of("defines", "file", "symbol").distinct()
+        self._dependencies: DataFrame | None = None
         self._reached: dict[tuple[str, bool, int], DataFrame] = {}
 
     def of(self, p: str, s: str, o: str) -> DataFrame:
@@ -413,7 +415,14 @@ class Rules:
 
     def dependencies(self) -> DataFrame:
         """src, dst: calls, imports and used types."""
-        return self.facts.where("p in ('calls', 'imports', 'uses_type')").select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
+        if self._dependencies is None:
+            # Every traversal and report reads them again.
+            self._dependencies = checkpoint(self.facts.where("p in ('calls', 'imports', 'uses_type')").select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct())
+        return self._dependencies
+
+    def reverse_dependencies(self) -> DataFrame:
+        """symbol, dependent: who calls, imports or uses each thing."""
+        return self.dependencies().select(F.col("dst").alias("symbol"), F.col("src").alias("dependent"))
 
     def dependents(self, symbol: str, depth: int = 1 << 30) -> DataFrame:
         """node: everything that depends on a symbol, however far."""
@@ -426,8 +435,13 @@ class Rules:
         """A traversal is done once for each symbol and direction; what it reached is kept in its checkpoints."""
         key = (symbol, back, depth)
         if key not in self._reached:
-            self._reached[key] = (G.callers if back else G.callees)(self.dependencies(), symbol, depth, 1 << 30).select("node")
-        return self._reached[key]
+            self._reached[key] = (G.callers if back else G.callees)(self.dependencies(), symbol, depth, 1 << 30)
+        return self._reached[key].select("node")
+
+    def dependency_depth(self, symbol: str) -> DataFrame:
+        """node, depth: everything a symbol depends on, and the number of nodes on the shortest way to it, both ends counted (a direct one: 2)."""
+        self.depends_on(symbol)
+        return self._reached[symbol, False, 1 << 30].select("node", (F.col("depth") + 1).alias("depth"))
 
     def affected_files(self, symbol: str) -> DataFrame:
         return self.dependents(symbol).select(F.col("node").alias("symbol")).join(self.defines, "symbol").select("file").distinct()
@@ -452,6 +466,17 @@ class Rules:
         risk = F.when((F.col("radius") > 20) & (F.col("n_services") > 2), "high_risk").when((F.col("radius") > 10) & (F.col("radius") <= 20) & (F.col("n_services") <= 2), "medium_risk").when(F.col("radius") <= 10, "low_risk")
         return row.select(F.lit(symbol).alias("symbol"), "radius", "n_files", "n_services", "n_cycles", (F.col("radius") * a + F.col("n_services") * b + F.col("n_cycles") * c).alias("score"), F.when(F.col("radius") > 50, "high_impact").when(F.col("radius") > 10, "medium_impact").otherwise("low_impact").alias("prediction"), risk.alias("regression_risk"))
 
+    def impact_remediation(self, symbol: str) -> DataFrame:
+        """symbol, type, description, remediation: what to do about a symbol's cycles and about the predicted impact of changing it."""
+        loops = self.circular(symbol).select(F.lit(symbol).alias("symbol"), F.lit("circular_dependency").alias("type"), F.col("node").alias("description"))
+        predicted = self.impact_report(symbol).select("symbol", F.col("prediction").alias("type"), F.concat(F.col("radius"), F.lit(" dependents")).alias("description"))
+        return loops.unionByName(predicted).join(self._lookup(table(REMEDIATION), "type string, remediation string"), "type").select("symbol", "type", "description", "remediation")
+
+    def metrics_history(self, predicate: str) -> DataFrame:
+        """s, at, value: the measurements of a family (has_quality_metric, has_impact_metric, ...)."""
+        m = self.of(predicate, "s", "metric").join(self.of("has_timestamp", "metric", "at"), "metric").join(self.of("has_value", "metric", "value"), "metric")
+        return m.select("s", "at", "value").distinct()
+
     def tests_for(self, symbol: str) -> DataFrame:
         """test: the tests of everything that depends on a symbol and of the files it is in."""
         things = self.dependents(symbol).select(F.col("node").alias("s")).unionByName(self.affected_files(symbol).select(F.col("file").alias("s"))).distinct()
@@ -493,9 +518,43 @@ CATALOGUE = [RuleInfo(*r) for r in (
     ("security_sql_injection", "security", 2, "critical", "Detect potential SQL injection vulnerabilities"), ("security_xss", "security", 2, "high", "Detect potential XSS vulnerabilities"), ("security_csrf", "security", 2, "high", "Detect potential CSRF vulnerabilities"), ("security_secret_leak", "security", 2, "critical", "Detect hardcoded secrets and credentials"),
     ("security_dangerous_pattern", "security", 2, "high", "Detect dangerous code patterns"), ("security_dependency_vulnerability", "security", 2, "high", "Detect vulnerable dependencies"), ("security_weak_crypto", "security", 2, "high", "Detect weak cryptographic practices"), ("security_auth_issue", "security", 2, "critical", "Detect authentication and authorization issues"),
     ("quality_cyclomatic_complexity", "quality", 2, "medium", "Detect high cyclomatic complexity"), ("quality_code_duplication", "quality", 2, "medium", "Detect code duplication"), ("quality_documentation", "quality", 2, "low", "Detect documentation gaps"), ("quality_test_coverage", "quality", 2, "medium", "Detect test coverage gaps"),
-    ("quality_fpt_standards", "quality", 2, "medium", "Detect FPT coding standards violations"), ("quality_code_smell", "quality", 2, "medium", "Detect code smells"), ("quality_dependency", "quality", 2, "medium", "Detect dependency issues"), ("quality_error_handling", "quality", 2, "medium", "Detect error handling issues"),
+    ("quality_fpt_standards", "quality", 2, "medium", "Detect violations of the coding standard"), ("quality_code_smell", "quality", 2, "medium", "Detect code smells"), ("quality_dependency", "quality", 2, "medium", "Detect dependency issues"), ("quality_error_handling", "quality", 2, "medium", "Detect error handling issues"),
     ("performance_bottleneck", "performance", 2, "high", "Detect potential performance bottlenecks"), ("performance_memory_leak", "performance", 2, "high", "Detect potential memory leaks"), ("performance_concurrency", "performance", 2, "critical", "Detect concurrency issues"), ("performance_database", "performance", 2, "high", "Detect database query performance issues"),
     ("performance_network", "performance", 2, "medium", "Detect network performance issues"), ("performance_algorithm", "performance", 2, "medium", "Detect algorithmic inefficiencies"), ("performance_resource", "performance", 2, "medium", "Detect resource usage issues"),
     ("logic_dead_code", "logic", 2, "medium", "Detect dead code and unreachable branches"), ("logic_type_safety", "logic", 2, "high", "Detect type safety issues"), ("logic_null_safety", "logic", 2, "high", "Detect null safety issues"), ("logic_contract_violation", "logic", 2, "high", "Detect contract violations"),
     ("logic_consistency", "logic", 3, "high", "Detect consistency issues across components"), ("logic_temporal", "logic", 3, "high", "Detect temporal logic issues in state machines"), ("logic_formal_verification", "logic", 3, "critical", "Verify against formal specifications"),
+    # Reports and analyses; those of one symbol take the parameter symbol.
+    ("impact_direct_dependencies", "impact", 1, None, "Find direct dependencies of a symbol"), ("impact_transitive_dependencies", "impact", 2, None, "Find all transitive dependencies"), ("impact_reverse_dependencies", "impact", 1, None, "Find what depends on a symbol"), ("impact_transitive_reverse_dependencies", "impact", 2, None, "Find all transitive reverse dependencies"),
+    ("impact_blast_radius", "impact", 2, None, "Calculate blast radius for a change"), ("impact_affected_files", "impact", 2, None, "Find files affected by a change"), ("impact_affected_services", "impact", 3, None, "Find services affected by a change"), ("impact_critical_path", "impact", 3, None, "Find critical path dependencies"),
+    ("impact_circular_dependency", "impact", 2, "high", "Detect circular dependencies"), ("impact_dependency_depth", "impact", 2, None, "Calculate dependency depth"), ("impact_high_impact_symbols", "impact", 2, None, "Find high-impact symbols"), ("impact_low_impact_symbols", "impact", 2, None, "Find low-impact symbols"),
+    ("impact_analysis_symbol", "impact", 3, None, "Perform comprehensive impact analysis for a symbol"), ("impact_risk_score", "impact", 3, None, "Calculate impact risk score for a change"), ("impact_change_prediction", "impact", 3, None, "Predict impact of a code change"), ("impact_regression_risk", "impact", 3, None, "Assess regression risk for a change"),
+    ("impact_test_selection", "impact", 3, None, "Select tests to run based on impact"), ("impact_dependency_graph", "impact", 3, None, "Generate dependency graph data for visualization"), ("impact_remediation", "impact", 2, None, "Get remediation suggestions for impact issues"), ("impact_metrics_history", "impact", 3, None, "Track impact metrics over time"), ("impact_trend", "impact", 3, None, "Calculate impact trend for a symbol"),
+    ("logic_scan_file", "logic", 3, None, "Perform comprehensive logic and consistency scan"), ("logic_consistency_score", "logic", 3, None, "Calculate logic consistency score for a file"), ("logic_remediation", "logic", 2, None, "Get remediation suggestions for logic issues"),
+    ("performance_scan_file", "performance", 3, None, "Perform comprehensive performance scan"), ("performance_risk_score", "performance", 3, None, "Calculate performance risk score for a file"), ("performance_remediation", "performance", 2, None, "Get remediation suggestions for performance issues"), ("performance_load_test_scenario", "performance", 3, None, "Generate load testing scenarios"), ("performance_historical_analysis", "performance", 3, None, "Analyze historical performance trends"),
+    ("quality_scan_file", "quality", 3, None, "Perform comprehensive quality scan"), ("quality_score", "quality", 3, None, "Calculate quality score for a file (SQALE model)"), ("quality_technical_debt", "quality", 3, None, "Calculate technical debt in hours"), ("quality_remediation", "quality", 2, None, "Get remediation suggestions for quality issues"), ("quality_metrics_history", "quality", 3, None, "Track quality metrics over time"), ("quality_trend", "quality", 3, None, "Calculate quality trend for a file"),
+    ("security_scan_file", "security", 3, "critical", "Perform comprehensive security scan on a file"), ("security_risk_score", "security", 3, None, "Calculate security risk score for a file"), ("security_audit_report", "security", 3, None, "Generate comprehensive security audit report"), ("security_remediation", "security", 2, None, "Get remediation suggestions for vulnerabilities"),
+    # Helpers that the analyses share.
+    ("logic_valid_transitions", "logic", 2, None, "State transitions whose guard is satisfied"), ("logic_implements_interface", "logic", 2, None, "Symbols that have every method of an interface"), ("logic_satisfied_properties", "logic", 2, None, "Properties a symbol satisfies"), ("logic_maintained_invariants", "logic", 2, None, "Invariants a symbol maintains"),
 )]
+
+
+def _dependency_graph(r: Rules, symbol: str) -> DataFrame:
+    """src, dst: the edges, and a row without dst for each node."""
+    nodes, edges = r.dependency_graph(symbol)
+    return edges.unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")))
+
+
+#: How the named reports are made: of all symbols, or of one.
+REPORTS: dict[str, Callable[[Rules], DataFrame]] = {
+    **{f"{f}_scan_file": lambda r, f=f: r.scan_file(f) for f in WEIGHTS}, **{f"{f}_remediation": lambda r, f=f: r.remediation(f) for f in WEIGHTS},
+    "security_risk_score": lambda r: r.score("security"), "quality_score": lambda r: r.score("quality"), "performance_risk_score": lambda r: r.score("performance"), "logic_consistency_score": lambda r: r.score("logic"),
+    "security_audit_report": Rules.audit_report, "quality_technical_debt": Rules.technical_debt, "quality_metrics_history": lambda r: r.metrics_history("has_quality_metric"), "quality_trend": lambda r: r.chains("has_quality_metric", "has_trend"),
+    "performance_load_test_scenario": Rules.load_tests, "performance_historical_analysis": lambda r: r.chains("has_performance_metric", "has_history", "trend"), "impact_metrics_history": lambda r: r.metrics_history("has_impact_metric"), "impact_trend": lambda r: r.chains("has_impact_metric", "has_trend"),
+    "impact_direct_dependencies": Rules.dependencies, "impact_reverse_dependencies": Rules.reverse_dependencies, "impact_high_impact_symbols": lambda r: r.direct_impact().where("impact > 10"), "impact_low_impact_symbols": lambda r: r.direct_impact().where("impact <= 2"),
+    "smell_god_file": Rules.smells, "smell_hub": Rules.hubs, "logic_valid_transitions": Rules.valid_transitions, "logic_implements_interface": Rules.fully_implements, "logic_satisfied_properties": lambda r: r.of("satisfies_property", "symbol", "property").distinct(), "logic_maintained_invariants": lambda r: r.of("maintains_invariant", "symbol", "invariant").distinct(),
+}
+SYMBOL_REPORTS: dict[str, Callable[[Rules, str], DataFrame]] = {
+    "impact_transitive_dependencies": Rules.depends_on, "impact_transitive_reverse_dependencies": Rules.dependents, "impact_blast_radius": lambda r, s: r.dependents(s).agg(F.count(F.lit(1)).alias("radius")), "impact_affected_files": Rules.affected_files, "impact_affected_services": Rules.affected_services, "impact_critical_path": Rules.critical_paths,
+    "impact_circular_dependency": Rules.circular, "impact_dependency_depth": Rules.dependency_depth, "impact_analysis_symbol": Rules.impact_report, "impact_risk_score": lambda r, s: r.impact_report(s).select("symbol", "score"), "impact_change_prediction": lambda r, s: r.impact_report(s).select("symbol", "prediction"), "impact_regression_risk": lambda r, s: r.impact_report(s).select("symbol", "regression_risk"),
+    "impact_test_selection": Rules.tests_for, "impact_dependency_graph": _dependency_graph, "impact_remediation": Rules.impact_remediation,
+}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -57,10 +59,41 @@ def verify(action: str, items: int = 0) -> str | None:
 
 
 class Plan:
-    """Runs steps in order. A reference to an earlier step's variable becomes a join on that column, so nothing is collected."""
-
-    def __init__(self, facts: DataFrame, steps: list[Step]):
-        self.facts, self.steps = facts, {s.id: s for s in steps}
+    """Runs steps in order. A reference to an earlier step's variable becomes a join on that column, so nothing is collected.
+
+    A step fails if its rows are not counted within ``seconds`` or are more than ``most`` (None: no bound): a breaker against plans
+    whose joins explode, not a cut of their rows.
+    """
+
+    def __init__(self, facts: DataFrame, steps: list[Step], seconds: float | None = 60.0, most: int | None = MAX_ROWS):
+        self.facts, self.steps, self.seconds, self.most = facts, {s.id: s for s in steps}, seconds, most
+
+    def _guarded(self, step: Step) -> int:
+        """The number of the step's rows, as far as it matters; the job is cancelled when its time is over."""
+        sc, tag = self.facts.sparkSession.sparkContext, f"step-{uuid.uuid4().hex}"
+        over = threading.Event()
+
+        def stop() -> None:
+            over.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.seconds, stop) if self.seconds is not None else None
+        sc.addJobTag(tag)
+        try:
+            if timer:
+                timer.start()
+            n = step.result.limit(1 if self.most is None else self.most + 1).count()
+        except Exception as e:
+            if over.is_set():
+                raise QueryError(f"timed out after {self.seconds} seconds") from e
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+            sc.removeJobTag(tag)
+        if self.most is not None and n > self.most:
+            raise QueryError(f"more than {self.most} rows")
+        return n
 
     def _linked(self, step: Step) -> tuple[str, list[tuple[str, int, str]]]:
         links: list[tuple[str, int, str]] = []
@@ -92,7 +125,7 @@ class Plan:
             step.status = "running"
             try:
                 step.result = self.run(step)
-                if step.result.isEmpty():
+                if self._guarded(step) == 0:
                     raise LookupError("no rows")
                 step.status = "success"
             except (QueryError, LookupError) as e:
@@ -103,6 +136,7 @@ class Plan:
                 try:
                     step.query = again
                     step.result = self.run(step)
+                    self._guarded(step)
                     step.status = "corrected"
                 except QueryError as f:
                     step.status, step.error = "failed", str(f)
@@ -140,3 +174,65 @@ def orient(facts: DataFrame, candidates: DataFrame, threshold: float = 0.05, mos
 
     scored = centrality(facts, attention=True).join(candidates.select("symbol_id").distinct(), "symbol_id", "left_semi")
     return scored.where(F.col("centrality") >= threshold).orderBy(F.col("centrality").desc(), "symbol_id").limit(most)
+
+
+# The tasks of the loop.
+TASKS = ("insight", "chat", "prune", "summary", "narrative", "resolve_symbol", "path_endpoints", "datalog", "path_narrative", "smart_search_analysis", "multi_file_summary", "refactor", "test_generation", "security_audit", "performance")
+#: What an intent of a plain question is done by.
+_BY_INTENT = {"who_calls": "resolve_symbol", "what_calls": "resolve_symbol", "find": "resolve_symbol", "how_reaches": "path_narrative", "summarize": "summary", "explain": "narrative", "security_audit": "security_audit", "refactor": "refactor", "test_generation": "test_generation", "performance": "performance"}
+#: Words that speak for a task, with their weight; the intent of the question weighs INTENT_WEIGHT. The heaviest task wins, then the earlier one.
+_WORDS = {
+    "insight": (("architecture", 6), ("architectural", 6), ("component", 3), ("components", 3), ("coupling", 6), ("dependencies", 4), ("design", 3)), "prune": (("prune", 9), ("important", 4), ("key", 3), ("top", 4), ("central", 5)),
+    "narrative": (("flow", 6), ("sequence", 5), ("happens", 5)), "path_endpoints": (("endpoint", 8), ("endpoints", 8), ("route", 6), ("routes", 6), ("api", 4)), "datalog": (("datalog", 10), ("triples", 9)),
+    "smart_search_analysis": (("similar", 6), ("semantic", 6), ("results", 3)), "multi_file_summary": (("compare", 6), ("files", 3), ("across", 4)),
+}
+INTENT_WEIGHT = 5
+
+
+def task_of(request: str) -> str:
+    """The task a request asks for: its intent and its words, weighed; chat if nothing speaks for any."""
+    from factweave.plans.nl import classify
+
+    words = set(re.findall(r"[a-z]+", request.lower()))
+    weight = dict.fromkeys(TASKS, 0)
+    weight[_BY_INTENT.get(classify(request).name, "chat")] += INTENT_WEIGHT
+    for task, cues in _WORDS.items():
+        weight[task] += sum(w for word, w in cues if word in words)
+    weight["chat"] = min(weight["chat"], 1)
+    return max(TASKS, key=lambda t: (weight[t], -TASKS.index(t)))
+
+
+@dataclass
+class Turn:
+    """What one turn of the loop knows: request, task, names, the symbols worth attention, the action and its outcome."""
+
+    request: str
+    task: str = "chat"
+    names: list[str] = field(default_factory=list)
+    attention: list[tuple[str, float]] = field(default_factory=list)
+    action: str = ""
+    refused: str | None = None
+    outcome: str | None = None
+
+
+class Loop:
+    """observe, orient, decide, verify, act. ``find`` gives the symbols of a name (column symbol), ``act`` does the action of a verified turn."""
+
+    def __init__(self, facts: DataFrame, find: Callable[[str], DataFrame], act: Callable[[Turn], str]):
+        self.facts, self.find, self.act = facts, find, act
+
+    def run(self, request: str) -> Turn:
+        from factweave.plans.nl import classify
+
+        turn = Turn(request, task_of(request), list(classify(request).targets))
+        candidates = None
+        for name in turn.names:
+            rows = self.find(name).select(F.col("symbol").alias("symbol_id"))
+            candidates = rows if candidates is None else candidates.unionByName(rows)
+        if candidates is not None:
+            turn.attention = [(r["symbol_id"], r["centrality"]) for r in orient(self.facts, candidates).collect()]
+        turn.action = json.dumps({"task": turn.task, "request": request, "symbols": [s for s, _ in turn.attention]}, ensure_ascii=False)
+        turn.refused = verify(turn.action, len(turn.attention))
+        if turn.refused is None:
+            turn.outcome = self.act(turn)
+        return turn

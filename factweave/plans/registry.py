@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from factweave.operators.rules import CATALOGUE, Rules
+from factweave.operators.rules import CATALOGUE, REPORTS, SYMBOL_REPORTS, Rules
 from factweave.plans.compiler import compile_query
 from factweave.plans.datalog import QueryError
 
@@ -101,10 +101,15 @@ class Registry:
         return sorted((d for d in self.queries.values() if category in (None, d.category)), key=lambda d: (d.tier, d.name))
 
     def execute(self, name: str, facts: DataFrame, values: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
-        """A template with its values, or the rule of the library of that name."""
+        """A template with its values, or the rule or report of the library of that name (values: symbol, for what is of one symbol)."""
         d = self.get(name)
         if d.template:
             return compile_query(fill(d.template, values or {}), facts, limit)
-        special = {"smell_god_file": Rules.smells, "smell_hub": Rules.hubs}
-        rows = special[name](Rules(facts)) if name in special else Rules(facts).findings(name)
+        rules = Rules(facts)
+        if name in SYMBOL_REPORTS:
+            if not (values or {}).get("symbol"):
+                raise QueryError("missing parameter symbol")
+            rows = SYMBOL_REPORTS[name](rules, values["symbol"])
+        else:
+            rows = REPORTS[name](rules) if name in REPORTS else rules.findings(name)
         return rows.limit(limit) if limit else rows

@@ -11,7 +11,7 @@ from factweave.operators import graph as G
 from factweave.plans import compiler
 from factweave.session import table
 from factweave.sources import store
-from factweave.sources.fixtures import FACTS_CTE, facts
+from factweave.sources.fixtures import FACTS_CTE, PLANTED_CTE, facts, planted_facts
 from factweave.sources.store import FactStore
 
 W = FACTS_CTE
@@ -50,6 +50,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def planted(name: str, sql: str):
+    """A query on facts and those planted for what refs may lack."""
+
+    def add(fn):
+        QUERIES[name] = lambda spark, sf_dir: fn(planted_facts(spark, sf_dir), spark, sf_dir)
+        SQL[name] = f"{PLANTED_CTE} {sql}"
+        return fn
+
+    return add
+
+
 def short_sql(x: str) -> str:
     part = f"CASE WHEN strpos({x}, ':') > 0 THEN substr({x}, strpos({x}, ':') + 1) ELSE {x} END"
     return f"CASE WHEN regexp_matches({part}, '[.][^.]+$') THEN regexp_extract({part}, '([^.]+)$', 1) ELSE {part} END"
@@ -76,7 +87,7 @@ query("predicates", "SELECT DISTINCT p FROM facts")(lambda f, *_: FactStore(f).p
 query("fact_count", "SELECT count(*) AS n_facts FROM facts")(lambda f, *_: FactStore(f).count())
 query("files", "SELECT DISTINCT s AS file FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'file'")(lambda f, *_: FactStore(f).files())
 query("files_with_prefix", f"SELECT DISTINCT s AS file FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'file' AND (starts_with(s, 'atlas-core/pkg') OR starts_with(regexp_extract({dir_sql('s')}, '([^/]*)$', 1), 'atlas-core/pkg'))")(lambda f, *_: FactStore(f).files("atlas-core/pkg"))
-query("entry_points", "SELECT DISTINCT o AS symbol FROM facts WHERE p = 'defines' AND o LIKE '%:main' ORDER BY 1 LIMIT 51")(lambda f, *_: FactStore(f).entry_points())
+planted("entry_points", "SELECT DISTINCT o AS symbol FROM facts WHERE p = 'defines' AND o LIKE '%:main' ORDER BY 1 LIMIT 51")(lambda f, *_: FactStore(f).entry_points())
 query("packages", f"SELECT DISTINCT CASE WHEN {dir_sql('s')} = '' THEN 'root' ELSE replace({dir_sql('s')}, '/', '.') END AS package FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'file'")(lambda f, *_: FactStore(f).packages())
 query("project_stats", f"SELECT (SELECT count(*) FROM facts) AS total_facts, (SELECT count(DISTINCT p) FROM facts) AS n_predicates, n AS n_packages, (SELECT count(*) FROM facts) // greatest(n, 1) AS facts_per_package FROM (SELECT count(DISTINCT CASE WHEN {dir_sql('s')} = '' THEN 'root' ELSE replace({dir_sql('s')}, '/', '.') END) AS n FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'file')")(lambda f, *_: FactStore(f).stats())
 query("missing_names", f"SELECT DISTINCT topic, o AS s, 'has_name' AS p, {short_sql('o')} AS o FROM facts WHERE p = 'defines' AND NOT EXISTS (SELECT 1 FROM facts g WHERE g.p = 'has_name' AND g.topic = facts.topic AND g.s = facts.o)")(lambda f, *_: FactStore(f).missing_names())
@@ -95,7 +106,6 @@ _LANG = {
     "datalog_negation": ('defines(?f, ?sym), not triples(?x, "calls", ?sym)', "SELECT DISTINCT s AS f, o AS sym FROM facts WHERE p = 'defines' AND o NOT IN (SELECT o FROM facts WHERE p = 'calls')"),
     "datalog_comparison": ('triples(?s, "has_line_count", ?n), ?n > 20, ?n =< 60', "SELECT DISTINCT s, o AS n FROM facts WHERE p = 'has_line_count' AND CASE WHEN regexp_full_match(o, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(o AS DOUBLE) > 20 AND CAST(o AS DOUBLE) <= 60 ELSE o > '20' AND o <= '60' END"),
     "datalog_anonymous": ('triples(?f, "calls", _), triples(_, "calls", ?f)', "SELECT DISTINCT s AS f FROM facts WHERE p = 'calls' AND s IN (SELECT o FROM facts WHERE p = 'calls')"),
-    "datalog_repeated_variable": ('triples(?a, "calls", ?a)', "SELECT DISTINCT s AS a FROM facts WHERE p = 'calls' AND s = o"),
     "datalog_all_variables": ('triples(?s, ?p, ?o), ?p = "has_tag"', "SELECT DISTINCT s, p, o FROM facts WHERE p = 'has_tag'"),
     "datalog_group_count": ('triples(?f, "defines", ?sym) GROUP BY ?f COUNT(*) AS n ORDER BY n DESC, ?f LIMIT 20', "SELECT s AS f, count(*) AS n FROM (SELECT DISTINCT s, o FROM facts WHERE p = 'defines') GROUP BY 1 ORDER BY n DESC, f LIMIT 20"),
     "datalog_group_numeric": ('triples(?s, "has_line_count", ?n), triples(?s, "has_language", ?l) GROUP BY ?l SUM(?n) AS total, MIN(?n) AS least, MAX(?n) AS most', "SELECT l, coalesce(sum(x), 0) AS total, min(x) AS least, max(x) AS most FROM (SELECT DISTINCT a.s, a.o AS n, b.o AS l, CASE WHEN regexp_full_match(a.o, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(a.o AS DOUBLE) END AS x FROM facts a JOIN facts b ON a.s = b.s WHERE a.p = 'has_line_count' AND b.p = 'has_language') GROUP BY l"),
@@ -106,17 +116,20 @@ _LANG = {
 for _name, (_text, _sql) in _LANG.items():
     query(_name, _sql)(lambda f, spark, d, text=_text: compiler.compile_query(text, f))
 
+planted("datalog_repeated_variable", "SELECT DISTINCT s AS a FROM facts WHERE p = 'calls' AND s = o")(lambda f, *_: compiler.compile_query('triples(?a, "calls", ?a)', f))
+query("datalog_cross", "SELECT DISTINCT a.s AS f, b.o AS l FROM facts a, facts b WHERE a.p = 'has_tag' AND a.o = 'cmd' AND b.p = 'has_language' AND starts_with(b.s, 'atlas-core/pkg')")(lambda f, *_: compiler.compile_query('triples(?f, "has_tag", "cmd"), triples(?x, "has_language", ?l), starts_with(?x, "atlas-core/pkg")', f).select("f", "l").distinct())
+
 # --- Joins that derive links ----------------------------------------------------------------------------------------------
 
-query("wired_interfaces", f"""SELECT DISTINCT i.s AS source, t.s AS target, 'v:wires_to' AS relation, 0.8::DOUBLE AS weight
+planted("wired_interfaces", f"""SELECT DISTINCT i.s AS source, t.s AS target, 'v:wires_to' AS relation, 0.8::DOUBLE AS weight
 FROM (SELECT DISTINCT s, {short_sql('s')} AS n FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'interface') i
 JOIN (SELECT DISTINCT s, {short_sql('s')} AS n FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'struct') t ON (t.n = i.n || 'Impl' OR t.n = 'Default' || i.n)""")(lambda f, *_: search.wired_interfaces(f))
-query("method_calls", f"""SELECT DISTINCT t.source, m.s AS target FROM (SELECT node_id AS source, unnest(list_distinct(regexp_extract_all(code, '[.]([A-Za-z0-9_]+)[(]', 1))) AS name FROM nodes WHERE code IS NOT NULL) t
+planted("method_calls", f"""SELECT DISTINCT t.source, m.s AS target FROM (SELECT node_id AS source, unnest(list_distinct(regexp_extract_all(code, '[.]([A-Za-z0-9_]+)[(]', 1))) AS name FROM nodes WHERE code IS NOT NULL) t
 JOIN (SELECT DISTINCT s, {short_sql('s')} AS name FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) = 'method') m USING (name)""")(lambda f, spark, d: search.method_calls(table(spark, d, "nodes").where("code is not null"), f, "node_id", "code"))
 query("model_mentions", f"""SELECT DISTINCT t.source, t.name FROM (SELECT node_id AS source, unnest(list_distinct(regexp_extract_all(code, '([A-Za-z_][A-Za-z0-9_]+)', 1))) AS name FROM nodes WHERE code IS NOT NULL) t
 JOIN (SELECT DISTINCT {short_sql('s')} AS name FROM facts WHERE p IN ('type', 'has_kind', 'kind') AND trim(o) IN ('struct', 'class')) m USING (name)""")(lambda f, spark, d: search.mentions(table(spark, d, "nodes").where("code is not null"), f.where("p in ('type', 'has_kind', 'kind') and trim(o) in ('struct', 'class')").select(X.short_name("s").alias("name")), "node_id", "code").distinct())
 query("spread_tags", "SELECT DISTINCT d.o AS s, 'has_tag' AS p, t.o FROM facts d JOIN facts t ON t.s = d.s WHERE d.p = 'defines' AND t.p = 'has_tag'")(lambda f, *_: search.spread_tags(f))
-query("called_routes", "SELECT DISTINCT r.s AS source, h.o AS target, r.route FROM (SELECT s, split_part(o, '?', 1) AS route FROM facts WHERE p = 'references') r JOIN facts h ON h.p = 'handled_by' AND h.s = r.route")(lambda f, *_: search.called_routes(f))
+planted("called_routes", "SELECT DISTINCT r.s AS source, h.o AS target, r.route FROM (SELECT s, split_part(o, '?', 1) AS route FROM facts WHERE p = 'references') r JOIN facts h ON h.p = 'handled_by' AND h.s = r.route")(lambda f, *_: search.called_routes(f))
 query("symbol_search", "SELECT DISTINCT o AS symbol FROM facts WHERE p = 'defines' AND contains(lower(o), 'graph') ORDER BY 1 LIMIT 50")(lambda f, *_: search.symbols_like(f, "Graph"))
 query("name_search", "SELECT DISTINCT o AS symbol FROM facts WHERE p = 'defines' AND contains(lower(split_part(o, ':', -1)), 'merge') ORDER BY 1 LIMIT 10")(lambda f, *_: search.names_like(f, "merge"))
 _NEAR = "1 - levenshtein({0}, 'mergegraph') / greatest(length({0}), 10)"
@@ -141,7 +154,7 @@ query("vector_with_filter", f"{_VEC} SELECT v.vec_id, round({_COS}, 5) AS score
 _EDGES = "SELECT DISTINCT s AS src, o AS dst FROM facts WHERE p = 'calls'"
 query("file_edges", f"SELECT {file_sql('src')} AS source, {file_sql('dst')} AS target, count(*) AS weight FROM ({_EDGES}) WHERE {file_sql('src')} <> {file_sql('dst')} GROUP BY 1, 2")(lambda f, *_: filegraph.file_edges(G.raw_calls(f).distinct()))
 query("file_graph", f"SELECT DISTINCT {file_sql('s')} AS source, {file_sql('o')} AS target, p AS relation FROM facts WHERE {file_sql('s')} = {file_sql(_CALLER)} AND p IN ('defines', 'imports', 'calls') AND {file_sql('s')} <> {file_sql('o')}")(lambda f, *_: filegraph.file_graph(f, caller(f).split(":")[0]))
-query("file_graph_lazy", f"SELECT DISTINCT {file_sql('s')} AS source, {file_sql('o')} AS target, p AS relation FROM facts WHERE {file_sql('s')} = {_IMPORTER} AND p IN ('defines', 'imports') AND {file_sql('s')} <> {file_sql('o')}")(lambda f, *_: filegraph.file_graph(f, f.where("p = 'imports'").groupBy("s").count().orderBy(F.desc("count"), "s").head()[0], lazy=True))
+planted("file_graph_lazy", f"SELECT DISTINCT {file_sql('s')} AS source, {file_sql('o')} AS target, p AS relation FROM facts WHERE {file_sql('s')} = 'planted/lazy.go' AND p IN ('defines', 'imports') AND {file_sql('s')} <> {file_sql('o')}")(lambda f, *_: filegraph.file_graph(f, "planted/lazy.go", lazy=True))
 query("file_details", f"SELECT DISTINCT o AS node, s AS parent FROM facts WHERE p = 'defines' AND s = {_FILE}")(lambda f, *_: filegraph.file_details(f, big_file(f))[0])
 query("file_internal_calls", "SELECT DISTINCT s AS source, o AS target, 'calls' AS relation FROM facts WHERE p = 'calls' AND " + " AND ".join(f"{c} IN (SELECT o FROM facts WHERE p = 'defines' AND s = {_FILE})" for c in "so"))(lambda f, *_: filegraph.file_details(f, big_file(f))[1])
 _FE = f"fe AS (SELECT {file_sql('src')} AS source, {file_sql('dst')} AS target, count(*) AS weight FROM ({_EDGES}) WHERE {file_sql('src')} <> {file_sql('dst')} GROUP BY 1, 2)"
@@ -186,14 +199,28 @@ _START, _END = _LINE("start_line"), _LINE("end_line")
 _PART = f"CASE WHEN {_START} > 0 THEN CASE WHEN greatest({_START}, 1) > (CASE WHEN coalesce({_END}, 0) <= 0 THEN len(string_split(whole, chr(10))) ELSE least({_END}, len(string_split(whole, chr(10)))) END) THEN '' ELSE array_to_string(list_slice(string_split(whole, chr(10)), greatest({_START}, 1), CASE WHEN coalesce({_END}, 0) <= 0 THEN len(string_split(whole, chr(10))) ELSE least({_END}, len(string_split(whole, chr(10)))) END), chr(10)) END ELSE whole END"
 query("hydrate_content", f"""{W}, {_ATTR}, own AS (SELECT symbol_id AS k, min(symbol_content) AS own FROM symbols GROUP BY 1), whole AS (SELECT node_id AS f, min(code) AS whole FROM nodes WHERE code IS NOT NULL GROUP BY 1)
 SELECT id, has_kind AS kind, has_language AS language, {_START} AS start_line, {_END} AS end_line, coalesce(own, {_PART}) AS content FROM (SELECT DISTINCT o AS id FROM facts WHERE p = 'defines') LEFT JOIN attr ON s = id LEFT JOIN own ON k = id LEFT JOIN whole ON f = {file_sql('id')}""")(lambda f, spark, d: hydrate.full(f, f.where("p = 'defines'").select(F.col("o").alias("id")).distinct(), table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content")), table(spark, d, "nodes").where("code is not null").select(F.col("node_id").alias("id"), F.col("code").alias("content"))).select("id", "kind", "language", "start_line", "end_line", "content"))
-query("hydrate_one_symbol")(lambda f, spark, d: hydrate.symbol(f, hub(f), "atlas-core", table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content")), table(spark, d, "nodes").where("code is not null").select(F.col("node_id").alias("id"), F.col("code").alias("content"))))
-query("node_children", f"SELECT id, count(DISTINCT o) AS children_count FROM (SELECT DISTINCT s AS id FROM facts WHERE p = 'defines') JOIN facts ON s = id AND p = 'defines' GROUP BY 1")(lambda f, *_: hydrate.node_metadata(f, f.where("p = 'defines'").select(F.col("s").alias("id")).distinct()).select("id", "children_count"))
+_KNOWN = "(SELECT o FROM facts WHERE p = 'calls' AND o IN (SELECT o FROM facts WHERE p = 'defines') GROUP BY o ORDER BY count(*) DESC, o LIMIT 1)"
+
+
+def _known(f: DataFrame) -> str:
+    """The most called symbol that is defined."""
+    return f.where("p = 'calls'").join(f.where("p = 'defines'").select("o").distinct(), "o", "left_semi").groupBy("o").count().orderBy(F.desc("count"), "o").head()[0]
+
+
+query("hydrate_one_symbol", f"{W} SELECT * FROM ({SQL['hydrate_content'].replace('WITH RECURSIVE', 'WITH', 1)}) WHERE id = {_KNOWN}")(lambda f, spark, d: hydrate.symbol(f, _known(f), "atlas-core", table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content")), table(spark, d, "nodes").where("code is not null").select(F.col("node_id").alias("id"), F.col("code").alias("content"))).select("id", "kind", "language", "start_line", "end_line", "content"))
+query("node_children", """SELECT id, k.kind, coalesce(n, 0) AS children_count, m.metadata FROM (SELECT DISTINCT s AS id FROM facts WHERE p = 'defines') LEFT JOIN (SELECT s, count(DISTINCT o) AS n FROM facts WHERE p = 'defines' GROUP BY 1) c ON c.s = id
+LEFT JOIN (SELECT s, trim(min(o)) AS kind FROM facts WHERE p = 'has_kind' GROUP BY 1) k ON k.s = id LEFT JOIN (SELECT s, string_agg(p || '=' || o, ';' ORDER BY p) AS metadata FROM (SELECT s, p, min(o) AS o FROM facts WHERE p NOT IN ('calls', 'imports', 'defines', 'references') GROUP BY 1, 2) GROUP BY 1) m ON m.s = id""")(lambda f, *_: hydrate.node_metadata(f, f.where("p = 'defines'").select(F.col("s").alias("id")).distinct()).select("id", "kind", "children_count", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata")))
+_MINE = f"(SELECT o FROM facts WHERE p = 'defines' AND s = {_FILE})"
 query("context_block", f"""SELECT id, relation, node FROM (SELECT *, row_number() OVER (PARTITION BY id, relation ORDER BY node) AS n FROM (
-SELECT DISTINCT s AS id, p AS relation, o AS node FROM facts WHERE p IN ('calls', 'defines') AND s IN (SELECT o FROM facts WHERE p = 'defines' AND s = {_FILE})
-UNION SELECT DISTINCT o, 'called_by', s FROM facts WHERE p = 'calls' AND o IN (SELECT o FROM facts WHERE p = 'defines' AND s = {_FILE}))) WHERE n <= 5""")(lambda f, *_: hydrate.context_block(f, filegraph.file_details(f, big_file(f))[0].select(F.col("node").alias("id"))))
+SELECT DISTINCT s AS id, p AS relation, o AS node FROM facts WHERE p IN ('calls', 'defines') AND s IN {_MINE}
+UNION SELECT DISTINCT o, 'called_by', s FROM facts WHERE p = 'calls' AND o IN {_MINE})) WHERE n <= 5
+UNION ALL SELECT symbol_id, 'content', CASE WHEN length(c) > 2000 THEN substr(c, 1, 2000) || chr(10) || '... (truncated)' ELSE c END FROM (SELECT symbol_id, min(symbol_content) AS c FROM symbols WHERE symbol_id IN {_MINE} AND symbol_content IS NOT NULL GROUP BY 1)""")(lambda f, spark, d: hydrate.context_block(f, filegraph.file_details(f, big_file(f))[0].select(F.col("node").alias("id")), contents=table(spark, d, "symbols").select(F.col("symbol_id").alias("id"), F.col("symbol_content").alias("content"))))
 query("manifest_files", "SELECT s AS file, count(DISTINCT o) AS n_symbols FROM facts WHERE p = 'defines' GROUP BY 1")(lambda f, *_: hydrate.manifest(f)[0])
 query("manifest_names", f"SELECT {short_sql('o')} AS name, max(o) AS id FROM facts WHERE p = 'defines' GROUP BY 1")(lambda f, *_: hydrate.manifest(f)[1])
-query("result_summary", "SELECT 'predicate' AS kind, value, n FROM (SELECT p AS value, count(*) AS n FROM facts GROUP BY 1 ORDER BY n DESC, value LIMIT 10) UNION ALL SELECT 'subject', value, n FROM (SELECT s AS value, count(*) AS n FROM facts GROUP BY 1 ORDER BY n DESC, value LIMIT 10)")(lambda f, *_: hydrate.summary(f, "s", "p"))
+query("result_summary", """, r AS (SELECT s, p, o FROM facts WHERE p <> 'has_doc'), total AS (SELECT count(*) AS n FROM r), t AS (SELECT 'o=' || o || ', p=' || p || ', s=' || s AS value FROM r)
+SELECT 'predicate' AS kind, value, n FROM (SELECT p AS value, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, value LIMIT 10) UNION ALL SELECT 'subject', value, n FROM (SELECT s AS value, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, value LIMIT 10)
+UNION ALL SELECT 'total', NULL, n FROM total UNION ALL SELECT 'sample', value, 1 FROM (SELECT value FROM t ORDER BY value LIMIT (SELECT CASE WHEN n < 50 THEN 49 ELSE 20 END FROM total))""")(lambda f, *_: hydrate.summary(f.where("p <> 'has_doc'").select("s", "p", "o"), "s", "p"))
+SQL["result_summary"] = W + SQL["result_summary"][len(W) + 1 :]
 
 # --- Scalar functions over all ids -----------------------------------------------------------------------------------------------
 

@@ -89,7 +89,7 @@ def query(name: str, sql: str | None = None):
 for _rule in dict.fromkeys(r for r, _ in _BODIES):
     query(f"rule_{_rule}", findings_sql(_rule))(lambda r, name=_rule: r.findings(name))
 for _family, _weights in R.WEIGHTS.items():
-    query(f"rule_{_family}_scan_file", f"SELECT file, count(*) AS n_findings FROM ({findings_sql(_family)}) GROUP BY 1")(lambda r, name=_family: r.scan_file(name).select("file", "n_findings"))
+    query(f"rule_{_family}_scan_file", f"SELECT file, count(*) AS n_findings, list_sort(list(rule || '|' || type || '|' || symbol || '|' || message)) AS findings FROM ({findings_sql(_family)}) GROUP BY 1")(lambda r, name=_family: r.scan_file(name).select("file", "n_findings", F.array_sort(F.transform("findings", lambda x: F.concat_ws("|", x["rule"], x["type"], x["symbol"], x["message"]))).alias("findings")))
     _points = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _weights.items()) + " END"
     query(f"rule_{_family}_score", f"SELECT f.file, coalesce(x.score, 0)::DOUBLE AS score FROM (SELECT DISTINCT s AS file FROM rf WHERE p IN ('defines', 'imports')) f LEFT JOIN (SELECT file, sum({_points}) AS score FROM ({findings_sql(_family)}) GROUP BY 1) x ON x.file = f.file")(lambda r, name=_family: r.score(name))
 _debt = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.DEBT_HOURS.items()) + " END"
@@ -104,8 +104,10 @@ query("rule_smell_circular_direct", "SELECT DISTINCT x.s AS a, x.o AS b FROM rf
 query("rule_smell_layer_violation", "SELECT DISTINCT i.s AS file, i.o AS target, t.o AS tag FROM rf i JOIN rf t ON t.s = i.s AND t.p = 'has_tag' JOIN rf b ON b.s = i.o AND b.p = 'has_tag' AND b.o = 'backend' WHERE i.p = 'imports' AND t.o <> 'backend'")(lambda r: r.layer_violations())
 query("rule_find_imports", "SELECT DISTINCT s AS file, o AS target FROM rf WHERE p = 'imports'")(lambda r: r.of("imports", "file", "target").distinct())
 query("rule_find_defines", "SELECT DISTINCT s AS file, o AS symbol FROM rf WHERE p = 'defines'")(lambda r: r.defines)
-query("rule_quality_metrics_history", "SELECT DISTINCT a.s, t.o AS at, v.o AS value FROM rf a JOIN rf t ON t.s = a.o AND t.p = 'has_timestamp' JOIN rf v ON v.s = a.o AND v.p = 'has_value' WHERE a.p = 'has_quality_metric'")(lambda r: r.of("has_quality_metric", "s", "metric").join(r.of("has_timestamp", "metric", "at"), "metric").join(r.of("has_value", "metric", "value"), "metric").select("s", "at", "value").distinct())
-query("rule_quality_trend", "SELECT DISTINCT a.s, t.o FROM rf a JOIN rf t ON t.s = a.o AND t.p = 'has_trend' WHERE a.p = 'has_quality_metric'")(lambda r: r.chains("has_quality_metric", "has_trend"))
+for _family in ("quality", "impact"):
+    query(f"rule_{_family}_metrics_history", f"SELECT DISTINCT a.s, t.o AS at, v.o AS value FROM rf a JOIN rf t ON t.s = a.o AND t.p = 'has_timestamp' JOIN rf v ON v.s = a.o AND v.p = 'has_value' WHERE a.p = 'has_{_family}_metric'")(lambda r, name=_family: r.metrics_history(f"has_{name}_metric"))
+    query(f"rule_{_family}_trend", f"SELECT DISTINCT a.s, t.o FROM rf a JOIN rf t ON t.s = a.o AND t.p = 'has_trend' WHERE a.p = 'has_{_family}_metric'")(lambda r, name=_family: r.chains(f"has_{name}_metric", "has_trend"))
+query("rule_performance_historical_analysis", "SELECT DISTINCT a.s, t.o FROM rf a JOIN rf h ON h.s = a.o AND h.p = 'has_history' JOIN rf t ON t.s = h.o AND t.p = 'trend' WHERE a.p = 'has_performance_metric'")(lambda r: R.REPORTS["performance_historical_analysis"](r))
 query("rule_performance_load_tests", "SELECT DISTINCT d.s AS file, a.o AS target, 'concurrent_users' AS scenario, 100 AS level FROM rf d JOIN rf h ON h.s = d.o AND h.p = 'has_role' AND h.o = 'api_handler' JOIN rf a ON a.s = d.o AND a.p = 'handles_endpoint' WHERE d.p = 'defines' UNION SELECT DISTINCT d.s, a.o, 'query_load', 1000 FROM rf d JOIN rf a ON a.s = d.o AND a.p = 'executes_query' WHERE d.p = 'defines'")(lambda r: r.load_tests())
 query("rule_valid_transitions", "SELECT DISTINCT t.s AS state, t.o AS next, g.o AS guard FROM rf t JOIN rf g ON g.s = t.s AND g.p = 'has_guard' JOIN rf k ON k.s = g.o AND k.p = 'is_satisfied' AND k.o = 'true' WHERE t.p = 'transitions_to'")(lambda r: r.valid_transitions())
 query("rule_fully_implements", "SELECT DISTINCT c.s AS symbol, c.o AS interface FROM rf c WHERE c.p = 'implements_interface' AND NOT EXISTS (SELECT 1 FROM rf m WHERE m.s = c.o AND m.p = 'requires_method' AND NOT EXISTS (SELECT 1 FROM rf i WHERE i.s = c.s AND i.p = 'implements_method' AND i.o = m.o))")(lambda r: r.fully_implements())
@@ -115,19 +117,24 @@ query("rule_maintained_invariants", "SELECT DISTINCT s AS symbol, o AS invariant
 # --- Impact -----------------------------------------------------------------------------------------------------------------
 
 _DEP = "dep AS (SELECT DISTINCT s AS src, o AS dst FROM rf WHERE p IN ('calls', 'imports', 'uses_type'))"
-_SYM = "(SELECT o FROM rf WHERE p = 'calls' GROUP BY o ORDER BY count(*) DESC, o LIMIT 1)"
+_SYM = "(SELECT n FROM (SELECT dst AS n, count(*) AS i FROM dep GROUP BY 1) JOIN (SELECT src AS n, count(*) AS o FROM dep GROUP BY 1) USING (n) WHERE n LIKE 'planted/ring.go:%' ORDER BY least(i, o) DESC, n LIMIT 1)"
 _BACK = f"{RULES_CTE}, {_DEP}, back AS (SELECT src AS node FROM dep WHERE dst = {_SYM} UNION SELECT dep.src FROM back JOIN dep ON dep.dst = back.node)"
 _FORTH = f"forth AS (SELECT dst AS node FROM dep WHERE src = {_SYM} UNION SELECT dep.dst FROM forth JOIN dep ON dep.src = forth.node)"
 _AFF = "aff AS (SELECT DISTINCT s AS file FROM rf WHERE p = 'defines' AND o IN (SELECT node FROM back))"
 
 
 def target(r: R.Rules) -> str:
-    """The most called symbol."""
-    return r.facts.where("p = 'calls'").groupBy("o").count().orderBy(F.desc("count"), "o").head()[0]
+    """The node of the planted ring that is in the middle of most dependencies: it has ways in, out and round."""
+    d = r.dependencies()
+    n = d.groupBy(F.col("dst").alias("n")).agg(F.count(F.lit(1)).alias("i")).join(d.groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("o")), "n")
+    return n.where("n like 'planted/ring.go:%'").orderBy(F.least("i", "o").desc(), "n").head()[0]
 
 
 query("impact_direct_dependencies", f"{RULES_CTE}, {_DEP} SELECT * FROM dep")(lambda r: r.dependencies())
 query("impact_transitive_dependencies", f"{RULES_CTE}, {_DEP}, {_FORTH} SELECT node FROM forth")(lambda r: r.depends_on(target(r)))
+query("impact_reverse_dependencies", f"{RULES_CTE}, {_DEP} SELECT dst AS symbol, src AS dependent FROM dep")(lambda r: r.reverse_dependencies())
+_DEEP = "deep_all AS (SELECT dst AS node, 2 AS depth FROM dep WHERE src = " + _SYM + " UNION SELECT dep.dst, depth + 1 FROM deep_all JOIN dep ON dep.src = deep_all.node WHERE depth < 40)"
+query("impact_dependency_depth", f"{RULES_CTE}, {_DEP}, {_DEEP} SELECT node, min(depth) AS depth FROM deep_all GROUP BY 1")(lambda r: r.dependency_depth(target(r)))
 query("impact_transitive_reverse", f"{_BACK} SELECT node FROM back")(lambda r: r.dependents(target(r)))
 query("impact_blast_radius", f"{_BACK} SELECT count(*) AS radius FROM back")(lambda r: r.dependents(target(r)).agg(F.count(F.lit(1)).alias("radius")))
 query("impact_affected_files", f"{_BACK}, {_AFF} SELECT file FROM aff")(lambda r: r.affected_files(target(r)))
@@ -140,8 +147,11 @@ query("impact_report", f"""{_BACK}, {_FORTH}, {_AFF}, n AS (SELECT (SELECT count
 SELECT {_SYM} AS symbol, *, radius * 2 + n_services * 10 + n_cycles * 15 AS score, CASE WHEN radius > 50 THEN 'high_impact' WHEN radius > 10 THEN 'medium_impact' ELSE 'low_impact' END AS prediction, CASE WHEN radius > 20 AND n_services > 2 THEN 'high_risk' WHEN radius > 10 AND radius <= 20 AND n_services <= 2 THEN 'medium_risk' WHEN radius <= 10 THEN 'low_risk' END AS regression_risk FROM n""")(lambda r: r.impact_report(target(r)))
 query("impact_test_selection", f"{_BACK}, {_AFF} SELECT DISTINCT o AS test FROM rf WHERE p = 'has_test' AND s IN (SELECT node FROM back UNION SELECT file FROM aff)")(lambda r: r.tests_for(target(r)))
 query("impact_graph_edges", f"{RULES_CTE}, {_DEP}, {_FORTH}, keep AS (SELECT node FROM forth WHERE node IN (SELECT o FROM rf WHERE p = 'defines')) SELECT src, dst FROM dep WHERE src IN (SELECT node FROM keep) AND dst IN (SELECT node FROM keep)")(lambda r: r.dependency_graph(target(r))[1])
-query("impact_critical_paths", f"""{RULES_CTE}, {_DEP}, one AS (SELECT * FROM dep WHERE src <> dst), p AS (SELECT [src, dst] AS path, dst AS last, 1 AS length FROM one WHERE src = (SELECT s FROM rf WHERE p = 'calls' GROUP BY s ORDER BY count(*) DESC, s LIMIT 1) UNION ALL SELECT list_append(path, one.dst), one.dst, length + 1 FROM p JOIN one ON p.last = one.src WHERE length < 2 AND NOT list_contains(path, one.dst))
-SELECT path, length FROM p WHERE last IN (SELECT s FROM rf WHERE p = 'is_critical' AND o = 'true')""")(lambda r: r.critical_paths(r.facts.where("p = 'calls'").groupBy("s").count().orderBy(F.desc("count"), "s").head()[0], 2))
+query("impact_critical_paths", f"""{RULES_CTE}, {_DEP}, one AS (SELECT * FROM dep WHERE src <> dst), p AS (SELECT [src, dst] AS path, dst AS last, 1 AS length FROM one WHERE src = {_SYM} UNION ALL SELECT list_append(path, one.dst), one.dst, length + 1 FROM p JOIN one ON p.last = one.src WHERE length < 3 AND NOT list_contains(path, one.dst))
+SELECT path, length FROM p WHERE last IN (SELECT s FROM rf WHERE p = 'is_critical' AND o = 'true')""")(lambda r: r.critical_paths(target(r)))
+_N = f"""{_BACK}, {_FORTH}, {_AFF}, n AS (SELECT (SELECT count(*) FROM back) AS radius)"""
+query("impact_remediation", f"""{_N}, issue AS (SELECT {_SYM} AS symbol, 'circular_dependency' AS type, node AS description FROM back WHERE node IN (SELECT node FROM forth) UNION ALL SELECT {_SYM}, CASE WHEN radius > 50 THEN 'high_impact' WHEN radius > 10 THEN 'medium_impact' ELSE 'low_impact' END, radius || ' dependents' FROM n)
+SELECT symbol, issue.type, description, remediation FROM issue JOIN {_REM} ON m.type = issue.type""")(lambda r: r.impact_remediation(target(r)))
 _NAME = short_sql("o")
 _ROLES, _TAGS = ", ".join(map(_q, R.STICKY_ROLES)), ", ".join(map(_q, R.STICKY_TAGS))
 QUERIES["sticky_facts"] = lambda spark, sf_dir: R.sticky(facts(spark, sf_dir)).select("s", "p", "o").distinct()

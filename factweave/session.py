@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest side, in estimated bytes, that this library ever broadcasts by hint.
@@ -101,3 +101,19 @@ def maybe_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT) -> DataFr
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of an input can never clash with an operator's own."""
     return df.select(*(df[n] for n in names))
+
+
+def with_index(df: DataFrame, order: list[Column | str], name: str = "index") -> DataFrame:
+    """df with the place of every row in an order, from 0, without gathering the rows in one task.
+
+    The rows are range-partitioned by the order and checkpointed; the sizes of the ranges (one number a partition) give each
+    range its first place, and within a range rows are numbered by a window.
+    """
+    ranges = checkpoint(df.repartitionByRange(default_tasks(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()))
+    first, at = [], 0
+    for part, n in sorted(map(tuple, ranges.groupBy("_range").count().collect())):
+        first.append((part, at))
+        at += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(first, "_range int, _first long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_n", place).join(starts, "_range").withColumn(name, F.col("_first") + F.col("_n")).drop("_range", "_n", "_first")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave.operators.graph import resolve_calls
 from factweave.session import scratch_path, table
 from factweave.sources.store import facts_of_refs, store_by_predicate
 
@@ -41,6 +42,11 @@ SPECS = [
     ("s", "has_specification", _n("spec", 6), "h % 12 = 5"), ("'spec' || CAST(h % 6 AS STRING)", "has_property", _n("prop", 10), "h % 24 = 5"), ("s", "satisfies_property", _n("prop", 10), "h % 12 = 5"), ("s", "has_invariant", _n("inv", 4), "h % 13 = 6"), ("s", "maintains_invariant", _n("inv", 4), "h % 26 = 6"),
     ("s", "has_quality_metric", _n("metric", 70), "h % 17 = 0"), ("'metric' || CAST(h % 70 AS STRING)", "has_timestamp", "'2031-01-' || CAST(10 + h % 70 % 19 AS STRING)", "h % 17 = 0"), ("'metric' || CAST(h % 70 AS STRING)", "has_value", "CAST(h % 70 * 3 AS STRING)", "h % 17 = 0"), ("'metric' || CAST(h % 70 AS STRING)", "has_trend", "CASE h % 70 % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'flat' END", "h % 17 = 0"),
     ("s", "is_critical", "'true'", "h % 31 = 0"), ("s", "uses_type", _n("type", 4), "h % 21 = 0"),
+    ("s", "has_impact_metric", _n("metric", 70), "h % 17 = 0"), ("s", "has_performance_metric", _n("metric", 70), "h % 17 = 0"), ("'metric' || CAST(h % 70 AS STRING)", "has_history", "'history' || CAST(h % 70 AS STRING)", "h % 17 = 0"), ("'history' || CAST(h % 70 AS STRING)", "trend", "CASE h % 70 % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'flat' END", "h % 17 = 0"),
+    # A file that imports and defines too much, a hub, a ring of calls with a way out, and an interface that is fully implemented.
+    ("'planted/god.go'", "imports", _n("dep", 80), "h % 2 = 0"), ("'planted/god.go'", "defines", _n("planted/god.go:F", 45), "h % 2 = 1"), ("'planted/hub.go'", "defines", "'planted/hub.go:Hub'", "h % 2 = 0"), ("'planted/hub.go:Hub'", "calls", _n("planted/out.go:c", 15), "h % 2 = 0"), (_n("planted/in.go:d", 14), "calls", "'planted/hub.go:Hub'", "h % 2 = 1"),
+    ("'planted/ring.go'", "defines", _n("planted/ring.go:R", 5), "h % 2 = 0"), (_n("planted/ring.go:R", 5), "calls", "'planted/ring.go:R' || CAST((h + 1) % 5 AS STRING)", "h % 2 = 0"), (_n("planted/user.go:U", 30), "calls", _n("planted/ring.go:R", 5), "h % 3 = 0"), ("'planted/user.go'", "defines", _n("planted/user.go:U", 30), "h % 3 = 0"), (_n("planted/ring.go:R", 5), "calls", "'planted/hub.go:Hub'", "h % 5 = 3"), ("'planted/user.go'", "belongs_to_service", "'service-planted'", "h % 2 = 0"), (_n("planted/user.go:U", 30), "has_test", _n("planted/user_test.go:T", 10), "h % 3 = 0"), (_n("planted/out.go:c", 15), "is_critical", "'true'", "h % 15 = 1"),
+    ("s", "implements_interface", "'ifacex'", "h % 10 = 7"), ("'ifacex'", "requires_method", _n("mx", 2), "h % 10 = 7"), ("s", "implements_method", "'mx0'", "h % 10 = 7"), ("s", "implements_method", "'mx1'", "h % 20 = 7"),
 ]
 #: Facts about files and imported things, over s (a file or imported id) and h.
 FILE_SPECS = [
@@ -48,6 +54,14 @@ FILE_SPECS = [
 ]
 
 
+#: Facts of which refs may have none, so that no query is only ever checked on an empty result: (subject, predicate, object).
+PLANTED = [
+    ("planted/main.go", "defines", "planted/main.go:main"), ("planted/loop.go:Again", "calls", "planted/loop.go:Again"), ("planted/store.go:Store", "has_kind", "interface"), ("planted/impl.go:StoreImpl", "has_kind", "struct"), ("planted/impl.go:DefaultStore", "has_kind", "struct"), ("planted/other.go:Storekeeper", "has_kind", "struct"),
+    ("planted/list.py:List.append", "has_kind", "method"), ("planted/list.py:List.join", "has_kind", "method"), ("planted/conn.go:Conn.Close", "has_kind", "method"), ("/api/items", "handled_by", "planted/http.go:Items"), ("planted/load.ts:load", "references", "/api/items?page=2"), ("planted/load.ts:more", "references", "/api/other"),
+    ("planted/lazy.go", "imports", "planted/store.go"), ("planted/lazy.go", "imports", "planted/impl.go"), ("planted/lazy.go", "defines", "planted/lazy.go:L"), ("planted/lazy.go:L", "calls", "planted/main.go:main"), ("planted/models.go", "in_package", "app.models"), ("planted/named.go:Render", "has_name", "Render"), ("planted/other/named.go:Deep.Render", "has_name", "Render"),
+]
+
+
 def _union(specs: list[tuple[str, str, str, str]], source: str) -> str:
     return " UNION ALL ".join(f"SELECT {s} AS s, '{p}' AS p, {o} AS o FROM {source} WHERE {c}" for s, p, o, c in specs)
 
@@ -61,15 +75,28 @@ things AS (SELECT DISTINCT x AS s, CAST('0x' || substr(md5(x), 1, 6) AS BIGINT)
 rf AS (SELECT s, p, o FROM facts UNION SELECT * FROM ({_union(SPECS, 'named')}) UNION SELECT * FROM ({_union(FILE_SPECS, 'things')}))"""
 
 
+PLANTED_CTE = f"{FACTS_CTE.replace('facts AS (', 'facts AS (SELECT topic, s, p, o FROM (', 1)[:-1]}) UNION SELECT 0, s, p, o FROM (VALUES {', '.join(map(str, PLANTED))}) v(s, p, o))"
+#: Calls with their callees resolved, as the engine keeps them: src, dst.
+_SHORT = "CASE WHEN regexp_matches({0}, '[.][^.]+$') THEN regexp_extract({0}, '([^.]+)$', 1) ELSE {0} END".format("CASE WHEN strpos(o, ':') > 0 THEN substr(o, strpos(o, ':') + 1) ELSE o END")
+_DIR = "regexp_extract(split_part({0}, ':', 1), '^(.*)/[^/]*$', 1)"
+EDGES_CTE = f"""{FACTS_CTE}, raw_ AS (SELECT DISTINCT s AS src, o AS dst FROM facts WHERE p = 'calls'), sym_ AS (SELECT DISTINCT o AS sym, {_SHORT} AS short, {_DIR.format('o')} AS dir FROM facts WHERE p = 'defines'),
+open_ AS (SELECT src, dst, {_DIR.format('src')} AS dir, split_part(split_part(dst, '/', -1), '.', -1) AS short, CASE WHEN contains(dst, '.') THEN split_part(dst, '.', 1) END AS pkg FROM raw_ WHERE dst NOT IN (SELECT sym FROM sym_)),
+of_pkg_ AS (SELECT w.short, w.pkg, min(sym) AS sym FROM (SELECT DISTINCT short, pkg FROM open_ WHERE pkg IS NOT NULL) w JOIN sym_ ON sym_.short = w.short AND contains(sym, pkg) GROUP BY 1, 2), of_dir_ AS (SELECT short, dir, min(sym) AS sym FROM sym_ GROUP BY 1, 2), of_name_ AS (SELECT short, min(sym) AS sym FROM sym_ GROUP BY 1),
+e AS MATERIALIZED (SELECT src, dst FROM raw_ WHERE dst IN (SELECT sym FROM sym_) UNION SELECT src, coalesce(a.sym, b.sym, c.sym, dst) FROM open_ LEFT JOIN of_pkg_ a ON a.short = open_.short AND a.pkg = open_.pkg LEFT JOIN of_dir_ b ON b.short = open_.short AND b.dir = open_.dir LEFT JOIN of_name_ c ON c.short = open_.short)"""
+
+
 _stored: dict[tuple[str, str, str], str] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A facts table that is ingested once per application and folder, partitioned by predicate, and then only read."""
+    """A table that is made once per application and folder, facts partitioned by predicate, and then only read."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        path = scratch_path(spark, name)
-        store_by_predicate(make(), path)
+        path, rows = scratch_path(spark, name), make()
+        if "p" in rows.columns:
+            store_by_predicate(rows, path)
+        else:
+            rows.write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
@@ -79,6 +106,28 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "facts", lambda: facts_of_refs(table(spark, sf_dir, "refs"))).select("topic", "s", "p", "o")
 
 
+def planted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facts and PLANTED."""
+    more = spark.createDataFrame(PLANTED, "s string, p string, o string").selectExpr("0 AS topic", "s", "p", "o")
+    return facts(spark, sf_dir).unionByName(more).distinct()
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: the resolved call graph, made once as the engine does."""
+    return _once(spark, sf_dir, "edges", lambda: resolve_calls(facts(spark, sf_dir)).repartitionByRange("src").sortWithinPartitions("src")).select("src", "dst")
+
+
+_asked: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
+    """A parameter of queries (such as the symbol asked about), found once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _asked:
+        _asked[key] = make()
+    return _asked[key]
+
+
 def rule_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts plus the derived ones, as s, p, o."""
     return _once(spark, sf_dir, "rule_facts", lambda: _rule_facts(facts(spark, sf_dir))).select("s", "p", "o")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factweave import schema
 from factweave.functions import text as X
-from factweave.session import own_columns
+from factweave.session import own_columns, with_index
 
 
 def facts_of_refs(refs: DataFrame) -> DataFrame:
@@ -112,9 +112,9 @@ class FactStore:
         kept = self.facts.withColumn("f", X.symbol_file("s")).join(gone, "f", "left_anti").drop("f")
         return FactStore(kept)
 
-    def retain(self, newest: str, limit: int = schema.RETAINED_FACTS) -> DataFrame:
-        """The ``limit`` newest facts by a time column of the table, decided by one bounded top-k."""
-        return self.facts.orderBy(F.col(newest).desc_nulls_last(), "s", "p", "o").limit(limit)
+    def retain(self, newest: str, limit: int = schema.RETAINED_FACTS, tie: str | None = None) -> DataFrame:
+        """The ``limit`` newest facts by a time column of the table (ties by s, p, o and, if given, another column), ranked range by range: no task holds them all."""
+        return with_index(self.facts, [F.col(newest).desc_nulls_last(), F.col("s"), F.col("p"), F.col("o"), *([F.col(tie)] if tie else [])], "place").where(F.col("place") < limit).drop("place")
 
     def save(self, path: str) -> None:
         """Write partitioned by topic and predicate, sorted by subject within files, so scans prune on all three."""

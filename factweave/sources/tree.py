@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from factweave.functions import text as X
 from factweave.schema import INGESTED_EXTENSIONS, SKIPPED_DIRS
-from factweave.session import ship
+from factweave.session import checkpoint, ship
 
 #: One row per file, symbol or reference found in a file.
-EXTRACTED = "path string, what string, id string, name string, kind string, doc string, content string, start_line int, end_line int, predicate string, object string"
+EXTRACTED = "path string, what string, id string, name string, kind string, doc string, content string, start_line int, end_line int, predicate string, object string, signature string"
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -30,19 +31,37 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("path").rlike(f"({kinds})$") & ~F.col("path").rlike(f"(^|/)({skipped})/")).select("path", F.decode("content", "UTF-8").alias("content"), "mtime")
 
 
+def signature_of(content: str, python: bool) -> str:
+    """What stands before the body of a declaration; of one without a body its first line."""
+    depth, quote = 0, ""
+    for i, c in enumerate(content):
+        if quote:
+            quote = "" if c == quote and content[i - 1] != "\\" else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif depth == 0 and c == ("{" if not python else ":"):
+            return content[: i + python].strip()
+    return content.split("\n", 1)[0]
+
+
 class _Found:
     def __init__(self, path: str, text: str):
         self.path, self.lines, self.rows = path, text.split("\n"), []
 
     def symbol(self, name: str, kind: str, start: int, end: int, doc: str | None) -> str:
         sid = f"{self.path}:{name}"
-        self.rows.append((self.path, "symbol", sid, name, kind, doc, "\n".join(self.lines[start - 1 : end]), start, end, None, None))
+        content = "\n".join(self.lines[start - 1 : end])
+        self.rows.append((self.path, "symbol", sid, name, kind, doc, content, start, end, None, None, signature_of(content, self.path.endswith(".py"))))
         return sid
 
     def refer(self, source: str, predicate: str, target: str, line: int) -> None:
         target = target.strip().strip("\"'`").encode()[:1024].decode(errors="ignore")
         if target:
-            self.rows.append((self.path, "ref", source, None, None, None, None, line, line, predicate, target))
+            self.rows.append((self.path, "ref", source, None, None, None, None, line, line, predicate, target, None))
 
 
 def _python(f: _Found, text: str) -> None:
@@ -119,8 +138,10 @@ def _doc_above(lines: list[str], start: int) -> str | None:
 
 def _braces(f: _Found, text: str, go: bool) -> None:
     owner, owner_end = "", 0
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line_at = lambda place: bisect.bisect_left(breaks, place) + 1
     for m in (_GO if go else _JS).finditer(text):
-        line = text.count("\n", 0, m.start()) + 1
+        line = line_at(m.start())
         if go:
             recv, fn, typ, sort, var = m.groups()
             name, kind = (f"{recv}.{fn}" if recv else fn, "method" if recv else "function") if fn else (typ, sort) if typ else (var, "variable")
@@ -147,16 +168,16 @@ def _braces(f: _Found, text: str, go: bool) -> None:
     if go:
         for block in re.finditer(r"^import\s*(?:\(([^)]*)\)|\"([^\"]+)\")", text, re.M):
             for target in re.findall(r"\"([^\"]+)\"", block[1]) if block[1] else [block[2]]:
-                f.refer(f.path, "imports", target, text.count("\n", 0, block.start()) + 1)
+                f.refer(f.path, "imports", target, line_at(block.start()))
     else:
         for m in re.finditer(r"^\s*(?:import|export)\b[^\n;]*?\bfrom\s*[\"']([^\"']+)[\"']|^\s*import\s*[\"']([^\"']+)[\"']|\brequire\(\s*[\"']([^\"']+)[\"']\s*\)", text, re.M):
-            f.refer(f.path, "imports", m[1] or m[2] or m[3], text.count("\n", 0, m.start()) + 1)
+            f.refer(f.path, "imports", m[1] or m[2] or m[3], line_at(m.start()))
 
 
 def extract_text(path: str, text: str) -> list[tuple]:
     """EXTRACTED rows of one file."""
     f = _Found(path, text)
-    f.rows.append((path, "file", path, path.rsplit("/", 1)[-1], "file", None, text, 1, len(f.lines), None, None))
+    f.rows.append((path, "file", path, path.rsplit("/", 1)[-1], "file", None, text, 1, len(f.lines), None, None, None))
     if path.endswith(".py"):
         _python(f, text)
     elif path.endswith(".go"):
@@ -205,32 +226,39 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def facts_of_tree(files: DataFrame, extracted: DataFrame, topic: int) -> DataFrame:
-    """topic, s, p, o: definitions, kinds, names, packages, tags, roles, documentation, lines, imports and calls of a tree."""
-    from functools import reduce
+    """topic, s, p, o: definitions, kinds, names, packages, tags, roles, documentation, lines, imports and calls of a tree.
 
-    fact = lambda df, s, p, o: df.select(F.lit(topic).alias("topic"), s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"))
-    sym, fil, ref = (extracted.where(F.col("what") == w) for w in ("symbol", "file", "ref"))
-    package = X.package_of("path")
+    The extracted rows are parsed once and checkpointed; all facts that one row implies are made of it in one pass, so only imports and
+    calls, which look at other files, cost joins.
+    """
+    extracted = checkpoint(extracted)
+    fact = lambda s, p, o, when=None: F.when(when if when is not None else F.lit(True), F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o")))
+    i, path, k = F.col("id"), F.col("path"), F.col("kind")
+    package, short = X.package_of("path"), X.short_name("id")
     low = F.lower(package)
-    kind = F.when(F.col("kind") == "function", "func").otherwise(F.col("kind"))
-    parts = [
-        fact(fil, F.col("id"), "type", F.lit("file")), fact(fil, F.col("id"), "in_package", package), fact(fil.withColumn("tag", F.explode(X.tags_of("path"))), F.col("id"), "has_tag", F.col("tag")),
-        fact(sym, F.col("path"), "defines", F.col("id")), fact(sym, F.col("id"), "type", F.col("kind")), fact(sym, F.col("id"), "has_kind", kind), fact(sym, F.col("id"), "in_package", package), fact(sym, F.col("id"), "name", F.col("name")), fact(sym, F.col("id"), "has_name", X.short_name("id")),
-        fact(sym, F.col("id"), "start_line", F.col("start_line")), fact(sym, F.col("id"), "end_line", F.col("end_line")), fact(sym.where("doc is not null"), F.col("id"), "has_doc", F.col("doc")),
-        fact(sym.where("kind in ('struct', 'interface', 'class')"), F.col("id"), "has_role", F.lit("data_contract")), fact(sym.where((F.col("kind") == "method") & X.short_name("id").startswith("handle")), F.col("id"), "has_role", F.lit("api_handler")),
-        fact(sym.where(low.rlike("util|helper") | F.lower("name").contains("util")), F.col("id"), "has_role", F.lit("utility")), fact(fil, F.col("id"), "has_language", X.language_of("path")),
+    of_file = [fact(i, "type", F.lit("file")), fact(i, "in_package", package), fact(i, "has_language", X.language_of("path"))]
+    of_symbol = [
+        fact(path, "defines", i), fact(i, "type", k), fact(i, "has_kind", F.when(k == "function", "func").otherwise(k)), fact(i, "in_package", package), fact(i, "name", F.col("name")), fact(i, "has_name", short), fact(i, "start_line", F.col("start_line")), fact(i, "end_line", F.col("end_line")), fact(i, "has_doc", F.col("doc")),
+        fact(i, "has_role", F.lit("data_contract"), k.isin("struct", "interface", "class")), fact(i, "has_role", F.lit("api_handler"), (k == "method") & short.startswith("handle")), fact(i, "has_role", F.lit("utility"), low.rlike("util|helper") | F.lower("name").contains("util")),
     ]
-    imports = resolve_imports(ref.where("predicate = 'imports'").select("path", "object").distinct(), files)
-    parts.append(fact(imports, F.col("path"), "imports", F.col("target")))
-    names = sym.groupBy(X.short_name("id").alias("short")).agg(F.max("id").alias("known"))
-    lang = F.when(F.col("path").endswith(".go"), "go").when(F.col("path").endswith(".py"), "python").otherwise("js")
-    calls = ref.where("predicate = 'calls'").where(~X.is_stdlib_call("object", lang)).withColumn("short", F.substring_index("object", ".", -1)).join(names, "short", "left")
-    parts.append(fact(calls, F.col("id"), "calls", F.coalesce("known", "object")))
-    parts.append(fact(ref.where("predicate = 'references'"), F.col("id"), "references", F.col("object")))
-    return reduce(DataFrame.unionByName, parts).where("o is not null").distinct()
+    tags = F.transform(X.tags_of("path"), lambda t: F.struct(i.alias("s"), F.lit("has_tag").alias("p"), t.alias("o")))
+    made = F.when(F.col("what") == "file", F.concat(F.array(*of_file), tags)).when(F.col("what") == "symbol", F.array(*of_symbol)).otherwise(F.when(F.col("predicate") == "references", F.array(fact(i, "references", F.col("object")))))
+    own = extracted.select(F.explode(F.array_compact(made)).alias("f")).select("f.s", "f.p", "f.o")
+    ref = extracted.where("what = 'ref'")
+    imports = resolve_imports(ref.where("predicate = 'imports'").select("path", "object").distinct(), files).select(F.col("path").alias("s"), F.lit("imports").alias("p"), F.col("target").alias("o"))
+    names = extracted.where("what = 'symbol'").groupBy(short.alias("short")).agg(F.max("id").alias("known"))
+    lang = F.when(path.endswith(".go"), "go").when(path.endswith(".py"), "python").otherwise("js")
+    calls = ref.where("predicate = 'calls'").where(~X.is_stdlib_call("object", lang)).withColumn("short", F.substring_index("object", ".", -1)).join(names, "short", "left").select(i.alias("s"), F.lit("calls").alias("p"), F.coalesce("known", "object").alias("o"))
+    rows = own.unionByName(imports).unionByName(calls).where("o is not null").distinct()
+    return rows.select(F.lit(topic).alias("topic"), "s", "p", "o")
 
 
 def documents_of_tree(extracted: DataFrame, topic: int) -> DataFrame:
     """The document table of files and symbols: content and metadata of each id."""
-    meta = F.struct(F.col("path").alias("file"), "start_line", "end_line", X.package_of("path").alias("package"), X.tags_of("path").alias("tags"))
+    meta = F.struct(F.col("path").alias("file"), "start_line", "end_line", "signature", X.package_of("path").alias("package"), X.tags_of("path").alias("tags"))
     return extracted.where("what in ('symbol', 'file')").groupBy("id").agg(F.min(F.struct("content", meta.alias("metadata"))).alias("d")).select(F.lit(topic).alias("topic"), F.col("id").alias("doc_id"), "d.content", "d.metadata")
+
+
+def save_documents(documents: DataFrame, path: str) -> None:
+    """Write the document table by topic, sorted by id, so that point reads prune. Spark retries a task that fails; a job is all or nothing."""
+    documents.hint("rebalance", "topic").sortWithinPartitions("topic", "doc_id").write.mode("overwrite").partitionBy("topic").parquet(path)
