@@ -44,7 +44,7 @@ SPECS = [
     ("s", "is_critical", "'true'", "h % 31 = 0"), ("s", "uses_type", _n("type", 4), "h % 21 = 0"),
     ("s", "has_impact_metric", _n("metric", 70), "h % 17 = 0"), ("s", "has_performance_metric", _n("metric", 70), "h % 17 = 0"), ("'metric' || CAST(h % 70 AS STRING)", "has_history", "'history' || CAST(h % 70 AS STRING)", "h % 17 = 0"), ("'history' || CAST(h % 70 AS STRING)", "trend", "CASE h % 70 % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'flat' END", "h % 17 = 0"),
     # A file that imports and defines too much, a hub, a ring of calls with a way out, and an interface that is fully implemented.
-    ("'planted/god.go'", "imports", _n("dep", 80), "h % 2 = 0"), ("'planted/god.go'", "defines", _n("planted/god.go:F", 45), "h % 2 = 1"), ("'planted/hub.go'", "defines", "'planted/hub.go:Hub'", "h % 2 = 0"), ("'planted/hub.go:Hub'", "calls", _n("planted/out.go:c", 15), "h % 2 = 0"), (_n("planted/in.go:d", 14), "calls", "'planted/hub.go:Hub'", "h % 2 = 1"),
+    ("'planted/god.go'", "imports", _n("dep", 80), "h % 2 = 0"), ("'planted/god.go'", "defines", _n("planted/god.go:F", 45), "h % 2 = 1"), ("'planted/hub.go'", "defines", "'planted/hub.go:Hub'", "h % 2 = 0"), ("'planted/hub.go:Hub'", "calls", _n("planted/out.go:c", 15), "h % 2 = 0"), (_n("planted/in.go:d", 15), "calls", "'planted/hub.go:Hub'", "h % 2 = 1"),
     ("'planted/ring.go'", "defines", _n("planted/ring.go:R", 5), "h % 2 = 0"), (_n("planted/ring.go:R", 5), "calls", "'planted/ring.go:R' || CAST((h + 1) % 5 AS STRING)", "h % 2 = 0"), (_n("planted/user.go:U", 30), "calls", _n("planted/ring.go:R", 5), "h % 3 = 0"), ("'planted/user.go'", "defines", _n("planted/user.go:U", 30), "h % 3 = 0"), (_n("planted/ring.go:R", 5), "calls", "'planted/hub.go:Hub'", "h % 5 = 3"), ("'planted/user.go'", "belongs_to_service", "'service-planted'", "h % 2 = 0"), (_n("planted/user.go:U", 30), "has_test", _n("planted/user_test.go:T", 10), "h % 3 = 0"), (_n("planted/out.go:c", 15), "is_critical", "'true'", "h % 15 = 1"),
     ("s", "implements_interface", "'ifacex'", "h % 10 = 7"), ("'ifacex'", "requires_method", _n("mx", 2), "h % 10 = 7"), ("s", "implements_method", "'mx0'", "h % 10 = 7"), ("s", "implements_method", "'mx1'", "h % 20 = 7"),
 ]
