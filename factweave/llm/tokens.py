@@ -1,9 +1,10 @@
 """P6: encoding of a corpus with a public byte-level BPE tokenizer, exact for texts of any length.
 
-A text of at most ``chunk`` characters is encoded in one go. A longer one is cut into overlapping chunks that are pre-tokenised
-in parallel, each on its own; adjacent chunks are stitched at a boundary both found in their overlap (a pre-token that starts
-at a place depends only on the text from there on, so from a common boundary on both agree). The pieces between stitches
-are encoded in parallel again and put together in order. Chunks without a common boundary are pre-tokenised as one.
+Every text is cut into overlapping chunks of ``chunk`` characters that are pre-tokenised each on its own; adjacent chunks are
+stitched at a boundary both found in their overlap (a pre-token that starts at a place depends only on the text from there on, so
+from a common boundary on both agree). The pieces between stitches are encoded on their own and put together in order; chunks
+without a common boundary form one piece. A text of one chunk is one piece. Where the chunks of a text are worked on is a matter of its
+length alone: those of a text up to ``spread`` characters in the task that has the row, those of a longer one in many tasks.
 """
 
 from __future__ import annotations
@@ -72,7 +73,40 @@ def boundaries(text: str, start: int, lo: int, hi: int, last: bool) -> list[int]
     return [p for m in _splitter().finditer(text) if lo <= (p := m.start() + start) < hi and p <= end and m.start() > 0 and not text[m.start() - 1].isspace()]
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, chunk: int = 1 << 17, overlap: int = 1 << 11) -> DataFrame:
+def pieces(text: str, chunk: int, overlap: int) -> list[str]:
+    """The parts of a text between the stitches of its chunks: encoded one by one they give the ids of the whole."""
+    n = len(text)
+    if n <= chunk:
+        return [text]
+    cuts, before = [0], None
+    for at in range(0, n, chunk):
+        start = max(at - overlap, 0)
+        part = text[start : at + chunk + overlap]
+        places = boundaries(part, start, at - overlap, at + chunk + overlap, start + len(part) >= n)
+        if before is not None:
+            common = before.intersection(p for p in places if p < at + overlap)
+            if not common:
+                # Nothing later leans on a true boundary: the rest is one piece.
+                break
+            cuts.append(min(common))
+        before = {p for p in places if p >= at + chunk - overlap}
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
+
+
+def encode_pieces(texts: list[str | None], name: str, folder: str, chunk: int, overlap: int) -> list[list[int]]:
+    """The ids of each text, made of the ids of its pieces."""
+    cut = [pieces(t or "", chunk, overlap) for t in texts]
+    ids = iter(encode_texts([p for ps in cut for p in ps], name, folder))
+    out = []
+    for ps in cut:
+        whole = next(ids)
+        for _ in ps[1:]:
+            whole += next(ids)
+        out.append(whole)
+    return out
+
+
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, chunk: int = 1 << 9, overlap: int = 1 << 6, spread: int = 1 << 17) -> DataFrame:
     """key, ids: one row per row of ``docs``, without special tokens.
 
     Null and empty texts have the empty list. Repeated rows give repeated rows; keys may be null. Extra columns are ignored; an empty table gives an empty result.
@@ -84,15 +118,15 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = encode_texts(b.column(1).to_pylist(), name, folder)
+            ids = encode_pieces(b.column(1).to_pylist(), name, folder, chunk, overlap)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["k", "ids"])
 
-    long = F.length("t") > chunk
+    long = F.length("t") > spread
     short = docs.where(~F.coalesce(long, F.lit(False)))
     schema = f"k {ktype.simpleString()}, ids array<int>"
     done = short.mapInArrow(whole, schema)
     many = docs.where(long)
-    found = done if many.isEmpty() else done.unionByName(encode_long(many, name, folder, chunk, overlap))
+    found = done if many.isEmpty() else done.unionByName(encode_long(many, name, folder, spread, max(overlap, 1 << 11)))
     return found.withColumnsRenamed({"k": key})
 
 
