@@ -22,7 +22,7 @@ from factweave.session import own_columns, ship
 
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESCAPE = re.compile(r"\\+(?:[nrtbfv](?![a-zA-Z]*:\\)|(?=[\"'/\\]))")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--")
 _LINK = re.compile(r"\]\((?:https?:|/|#)[^)\s]*\)")
 _WORDS = re.compile(r"[^\W_]+")
 _TRIM = re.compile("[­​-‏ -‮⁠-⁤﻿]")
@@ -181,14 +181,19 @@ class Matcher:
             if any(a <= lo and hi <= b for a, b in done):
                 continue
             done.append((lo, hi))
-            distance, _ = myers(iwords, words[lo:hi])
-            best = max(best, 1 - distance / n)
+            # Each altered word is an edit: a window that lacks more of the item's words than may be altered holds no copy.
+            have = set(words[lo:hi])
+            if sum(map(have.__contains__, iwords)) >= n - budget:
+                distance, _ = myers(iwords, words[lo:hi])
+                best = max(best, 1 - distance / n)
             if best < self.share:
                 # Lost separators glue words together: compare letters, with a budget of a fifth of them.
                 a, b = max(0, end - place - 40), min(len(stream), end - place + len(istream) + 40)
-                if not shares_grams(istream, stream[a:b], len(istream) // 5):
+                window = stream[a:b]
+                # Whatever is glued to them, the words that were not altered still stand there.
+                if sum(w in window for w in iwords) < n - budget or not shares_grams(istream, window, len(istream) // 5):
                     continue
-                letters, _ = myers(list(istream), list(stream[a:b]))
+                letters, _ = myers(list(istream), list(window))
                 if letters <= len(istream) / 5:
                     best = max(best, 1 - letters / len(istream))
         return best
