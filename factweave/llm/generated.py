@@ -3,16 +3,17 @@
 Three stages, all inside the JVM and, but for the pairs of the second, linear in the text:
 
 1. per text, token-composition counts (comment banners, literals, identifiers, line lengths) by built-in expressions;
-2. an inverted index of line hashes over the distinct bodies of library files. A body that holds a share c of a file's k lines
-   holds at least one of any k - ceil(c k) + 1 of them, so the rarest so many lines of a file name every body that can reach the
-   share, and no other lines are looked up; each pair so named is counted exactly over the lines of both;
+2. an inverted index of the line hashes of all distinct bodies, of all repositories. Only lines that stand in several repositories can
+   tell of a copy, so the others leave the index at once. A body that holds a share c of a file's k lines holds at least one of any
+   k - ceil(c k) + 1 of them, so the rarest so many lines of a file name every body that can reach the share, and no other lines are
+   looked up; each pair so named is counted exactly over the lines of both;
 3. composition rules for everything else.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.session import checkpoint, own_columns
@@ -74,16 +75,20 @@ def _any_name(path: Column, patterns: tuple[str, ...]) -> Column:
     return F.lower(path).rlike(rf"(?:{'|'.join(patterns)})$")
 
 
-def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.9, min_lines: int = 8) -> DataFrame:
+def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.9, min_lines: int = 8, spread: int = 3) -> DataFrame:
     """One row per row of ``nodes`` whose file nobody wrote by hand: node_key, node_id, origin, evidence, containment.
 
-    ``origin`` is one of lock, minified, vendored, generated, data (the first that holds, in that order).
+    ``origin`` is one of lock, minified, vendored, generated, data (the first that holds, in that order). A file with at least
+    ``containment`` of its lines (``min_lines`` or more) in a file of another repository is a copy if that one is a library's, if it is
+    older by its modified_at, or if that one stands in ``spread`` repositories or more; the repository with the oldest one has it by right, and of two files of unknown age in two
+    repositories neither is called the copy. ``nodes`` may lack modified_at.
 
     Nulls: a row with null node_id is judged by its code alone. A null code is replaced by the file's symbols, whose
     counts are summed per file (never concatenated). With neither, names alone decide. Empty texts are no case unless their
     name says so. Repeated node_id rows count each. An empty table gives an empty result; extra columns are ignored.
     """
-    nodes = own_columns(nodes, "node_key", "node_id", "code")
+    dated = "modified_at" in nodes.columns
+    nodes = own_columns(nodes, "node_key", "node_id", "code", *(["modified_at"] if dated else [])).withColumn("at", F.col("modified_at").cast("string") if dated else F.lit(None).cast("string"))
     symbols = own_columns(symbols, "symbol_id", "symbol_content")
     path = F.coalesce("node_id", F.lit(""))
     config = F.lower(path).rlike(CONFIG_NAMES)
@@ -92,8 +97,8 @@ def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.
     own = _composition(F.col("code"), config)
     # Rows of one file may have different texts; each text is judged for itself.
     version = F.xxhash64("code").alias("version")
-    with_code = nodes.where("code is not null").select("node_key", "node_id", version, *(own[c].alias(c) for c in names))
-    bare = nodes.where("code is null").select("node_key", "node_id", version)
+    with_code = nodes.where("code is not null").select("node_key", "node_id", "at", version, *(own[c].alias(c) for c in names))
+    bare = nodes.where("code is null").select("node_key", "node_id", "at", version)
 
     # Files without code: counts of their symbols, partially aggregated before the shuffle by file.
     file_id = F.substring_index("symbol_id", ":", 1)
@@ -103,7 +108,7 @@ def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.
         symbols.where("symbol_id is not null and symbol_content is not null").withColumn("node_id", file_id).join(wanted, "node_id", "left_semi")
         .groupBy("node_id").agg(*(F.sum(per[c]).alias(c) if c.startswith("n_") else F.max(per[c]).alias(c) for c in names))
     )
-    from_symbols = bare.join(of_symbols, "node_id", "left").select("node_key", "node_id", "version", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    from_symbols = bare.join(of_symbols, "node_id", "left").select("node_key", "node_id", "at", "version", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
     counts = with_code.unionByName(from_symbols)
 
     folder = F.lower(path).rlike(rf"(?:^|/)(?:{'|'.join(d.replace('.', '[.]') for d in VENDOR_DIRS)})/")
@@ -115,12 +120,12 @@ def find_generated(nodes: DataFrame, symbols: DataFrame, containment: float = 0.
     origin = F.when(lock, "lock").when(minified | _any_name(path, MINIFIED_NAMES), "minified").when(folder | (F.col("library") == 1), "vendored").when(generated_name | (F.col("banner") == 1), "generated").when(data, "data")
     evidence = F.when(lock, "name or content of a lock file").when(minified, "dense lines of short names").when(_any_name(path, MINIFIED_NAMES), "name").when(folder, "folder").when(F.col("library") == 1, "library notice").when(generated_name, "name").when(F.col("banner") == 1, "banner").when(data, "one literal")
     # Three later stages read the judgements; the texts are scanned for them once.
-    judged = checkpoint(counts.select("node_key", "node_id", "version", origin.alias("origin"), evidence.alias("evidence")))
+    judged = checkpoint(counts.select("node_key", "node_id", "version", "at", origin.alias("origin"), evidence.alias("evidence")))
 
-    copies = vendored_copies(nodes, symbols, judged, containment, min_lines)
+    copies = vendored_copies(nodes, symbols, judged, containment, min_lines, spread).withColumnRenamed("evidence", "told")
     return (
         judged.join(copies.withColumnRenamed("fid", "node_id"), ["node_id", "version"], "left")
-        .select("node_key", "node_id", F.coalesce("origin", F.when(F.col("contained").isNotNull(), "vendored")).alias("origin"), F.coalesce("evidence", F.when(F.col("contained").isNotNull(), "copy of a library file elsewhere")).alias("evidence"), F.col("contained").alias("containment"))
+        .select("node_key", "node_id", F.coalesce("origin", F.when(F.col("contained").isNotNull(), "vendored")).alias("origin"), F.coalesce("evidence", "told").alias("evidence"), F.col("contained").alias("containment"))
         .where("origin is not null")
     )
 
@@ -147,31 +152,42 @@ def line_index(nodes: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     return files.select("fid", "version", F.substring_index("fid", "/", 1).alias("repo"), F.xxhash64(F.array_sort("hs")).alias("body"), F.size("hs").alias("k"), "hs")
 
 
-def vendored_copies(nodes: DataFrame, symbols: DataFrame, judged: DataFrame, containment: float, min_lines: int) -> DataFrame:
-    """fid, version, contained: texts not yet judged whose lines are contained, to the given share, in a vendored file of another repository."""
-    origins = judged.where("node_id is not null and (origin is null or origin = 'vendored')").select(F.col("node_id").alias("fid"), "version", F.col("origin").isNotNull().alias("known")).distinct()
-    files = checkpoint(line_index(nodes, symbols).where(F.col("k") >= min_lines).join(origins, ["fid", "version"]))
-    # Texts of the same lines are one body; ``sole`` is the only repository that has it, or null if several have.
-    library = (
-        files.where("known").groupBy("body").agg(F.first("k").alias("lk"), F.first("hs").alias("theirs"), F.min("repo").alias("lo"), F.max("repo").alias("hi"))
-        .select(F.col("body").alias("library"), "lk", "theirs", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sole"))
+def vendored_copies(nodes: DataFrame, symbols: DataFrame, judged: DataFrame, containment: float, min_lines: int, spread: int) -> DataFrame:
+    """fid, version, contained, evidence: texts not yet judged that are copies of a file of another repository.
+
+    The index has the bodies (sets of lines) of all files that are not minified, generated, locked or data, each body once.
+    """
+    origins = (
+        judged.where("node_id is not null and (origin is null or origin = 'vendored')").groupBy(F.col("node_id").alias("fid"), "version")
+        .agg(F.max(F.col("origin").isNotNull()).alias("known"), F.min("at").alias("at"))
     )
-    texts = files.where("not known").groupBy("body").agg(F.first("k").alias("k"), F.first("hs").alias("mine"))
+    files = checkpoint(line_index(nodes, symbols).where(F.col("k") >= min_lines).join(origins, ["fid", "version"]))
+    bodies = files.groupBy("body").agg(F.first("k").alias("k"), F.first("hs").alias("hs"), F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.min("known").alias("settled"))
     need = F.ceil(containment * F.col("k") - 1e-9)
 
-    # Lines that no library has come first in the order of rarity; what they leave of the k - need + 1 is looked up.
-    postings = library.select("library", "lk", F.explode("theirs").alias("h"))
-    rarity = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # Lines of one repository alone can be in no copy: for the rest of a file they count as missed.
+    lines = bodies.select("body", "k", "settled", "lo", "hi", F.explode("hs").alias("h"))
+    between = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", "df")
+    shared = checkpoint(lines.select("body", "k", "settled", "h").join(between, "h"))
     rare = (
-        texts.select("body", "k", F.explode("mine").alias("h")).join(rarity, "h").groupBy("body", "k").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ls"))
+        shared.where("not settled").groupBy("body", "k").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ls"))
         .where(F.size("ls") >= need).select("body", need.alias("need"), F.explode(F.slice("ls", F.lit(1), (F.size("ls") - need + 1).cast("int"))).alias("l")).select("body", "need", "l.h")
     )
-    pairs = rare.join(postings, "h").where("lk >= need").select("body", "library").distinct()
-    exact = (
-        pairs.join(texts, "body").join(library.select("library", "theirs", "sole"), "library").withColumn("shared", F.size(F.array_intersect("mine", "theirs")))
-        .where(F.col("shared") >= need).groupBy("body", "sole").agg(F.max(F.col("shared") / F.col("k")).alias("contained"))
+    named = rare.join(shared.select("h", F.col("body").alias("other"), F.col("k").alias("size")), "h").where("body <> other and size >= need").select("body", "need", "other").distinct()
+    mine, theirs = bodies.select("body", "k", F.col("hs").alias("mine")), bodies.select(F.col("body").alias("other"), F.col("hs").alias("theirs"))
+    pairs = named.join(mine, "body").join(theirs, "other").withColumn("both", F.size(F.array_intersect("mine", "theirs"))).where("both >= need").select("body", "other", (F.col("both") / F.col("k")).alias("contained"))
+    same = bodies.where("lo <> hi and not settled").select("body", F.col("body").alias("other"), F.lit(1.0).alias("contained"))
+    pairs = checkpoint(pairs.unionByName(same))
+
+    # What a file must know of the other body, whatever the number of its repositories: between which names those lie that have it as a
+    # library, the oldest file, and in how many repositories it stands. The repository with the oldest one has it by right.
+    owners = files.join(pairs.select(F.col("other").alias("body")).distinct(), "body", "left_semi").groupBy("body", "repo").agg(F.max("known").alias("known"), F.min("at").alias("at"))
+    library = F.when(F.col("known"), F.col("repo"))
+    about = owners.groupBy(F.col("body").alias("other")).agg(F.min(library).alias("from"), F.max(library).alias("to"), F.min(F.when(F.col("at").isNotNull(), F.struct("at", "repo"))).alias("one"), F.count(F.lit(1)).alias("n"))
+    elsewhere = F.coalesce(F.col("one.repo") != F.col("repo"), F.lit(True))
+    told = (
+        F.when((F.col("from") != F.col("repo")) | (F.col("to") != F.col("repo")), "copy of a library file elsewhere")
+        .when(elsewhere & (F.col("one.at") < F.col("at")), "copy of an older file of another repository").when(elsewhere & (F.col("n") >= spread), "copy in several repositories")
     )
-    # A library that stands in the text's own repository alone does not count: of two different ``sole`` one always does.
-    place = F.row_number().over(Window.partitionBy("body").orderBy(F.desc("contained"), "sole"))
-    best = exact.withColumn("place", place).where("place <= 2").drop("place")
-    return files.where("not known").select("fid", "version", "repo", "body").join(best, "body").where("sole is null or sole <> repo").groupBy("fid", "version").agg(F.max("contained").alias("contained"))
+    rows = files.where("not known").select("fid", "version", "repo", "body", "at").join(pairs, "body").join(about, "other").select("fid", "version", "contained", told.alias("evidence")).where("evidence is not null")
+    return rows.groupBy("fid", "version").agg(F.max("contained").alias("contained"), F.min("evidence").alias("evidence"))

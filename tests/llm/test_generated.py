@@ -79,4 +79,28 @@ def test_copies_against_brute_force(spark):
     pool = [f"name_{i} = call_{i * 7}(first, second_{i})" for i in range(60)]
     texts = [(f"r{r.randrange(6)}/{'vendor' if i % 2 else 'src'}/f{i}.py", set(r.sample(pool[: r.choice([12, 20, 60])], r.choice([8, 9, 10, 11])) if r.random() < 0.7 else pool[: r.choice([10, 12, 20, 40])])) for i in range(80)]
     want = {i for i, (p, ls) in enumerate(texts) if "/vendor/" in p or any("/vendor/" in q and q.split("/")[0] != p.split("/")[0] and 10 * len(ls & ms) >= 9 * len(ls) for q, ms in texts)}
+    # Of unknown age: files that hold a body in three repositories or more make copies, too.
+    homes = {}
+    for p, ls in texts:
+        homes.setdefault(frozenset(ls), set()).add(p.split("/")[0])
+    want |= {i for i, (p, ls) in enumerate(texts) if any(q.split("/")[0] and len(homes[frozenset(ms)]) >= 3 and 10 * len(ls & ms) >= 9 * len(ls) for q, ms in texts)}
     assert set(found(spark, [(p, "\n".join(sorted(ls))) for p, ls in texts])) == want
+
+
+def test_copies_without_a_name(spark):
+    """No folder, name or notice tells of these: the older file is the original, and what stands in many repositories is nobody's own."""
+    lib = "\n".join(f"value_{i} = compute_{i * 31}(left_{i}, right_{i})" for i in range(40))
+    part = "\n".join([*lib.split("\n")[:37], *(f"own_{i} = something_{i}(1)" for i in range(3))])
+    other = "\n".join(f"total_{i} = gather_{i * 17}(rows_{i}, seen)" for i in range(20))
+    alone = "\n".join(f"step_{i} = follow_{i * 13}(edge_{i}, mark)" for i in range(20))
+    data = [("z/src/a.py", lib, "2031-01-01"), ("b/src/a.py", lib, "2032-01-01"), ("c/src/b.py", part, "2033-01-01"), *((f"r{i}/src/o.py", other, None) for i in range(3)), ("x/s.py", alone, None), ("y/s.py", alone, None), ("z/src/again.py", lib, "2034-01-01")]
+    n = spark.createDataFrame([(i, p, c, t) for i, (p, c, t) in enumerate(data)], "node_key long, node_id string, code string, modified_at string")
+    got = rows(find_generated(n, spark.createDataFrame([], SYMS)), "node_key", "origin", "evidence")
+    assert [(k, e.split()[2]) for k, _, e in got] == [(1, "an"), (2, "an"), (3, "several"), (4, "several"), (5, "several")]
+
+
+def test_an_original_split_over_two_libraries(spark):
+    """Two libraries hold a part of the file each, a third all of it."""
+    body = [f"value_{i} = compute_{i * i}(left_{i}, right_{i})" for i in range(40)]
+    nodes = [("a/vendor/l/a.py", "\n".join(body[:20])), ("b/vendor/l/b.py", "\n".join(body[20:])), ("m/vendor/l/m.py", "\n".join(body)), ("q/src/q.py", "\n".join(body)), ("s/src/own.py", HAND * 3)]
+    assert found(spark, nodes) == {0: "vendored", 1: "vendored", 2: "vendored", 3: "vendored"}
