@@ -181,7 +181,8 @@ def vendored_copies(nodes: DataFrame, symbols: DataFrame, judged: DataFrame, con
 
     # What a file must know of the other body, whatever the number of its repositories: between which names those lie that have it as a
     # library, the oldest file, and in how many repositories it stands. The repository with the oldest one has it by right.
-    owners = files.join(pairs.select(F.col("other").alias("body")).distinct(), "body", "left_semi").groupBy("body", "repo").agg(F.max("known").alias("known"), F.min("at").alias("at"))
+    concerned = pairs.select(F.explode(F.array("body", "other")).alias("body")).distinct()
+    owners = files.join(concerned, "body", "left_semi").groupBy("body", "repo").agg(F.max("known").alias("known"), F.min("at").alias("at"))
     library = F.when(F.col("known"), F.col("repo"))
     about = owners.groupBy(F.col("body").alias("other")).agg(F.min(library).alias("from"), F.max(library).alias("to"), F.min(F.when(F.col("at").isNotNull(), F.struct("at", "repo"))).alias("one"), F.count(F.lit(1)).alias("n"))
     elsewhere = F.coalesce(F.col("one.repo") != F.col("repo"), F.lit(True))
@@ -189,5 +190,7 @@ def vendored_copies(nodes: DataFrame, symbols: DataFrame, judged: DataFrame, con
         F.when((F.col("from") != F.col("repo")) | (F.col("to") != F.col("repo")), "copy of a library file elsewhere")
         .when(elsewhere & (F.col("one.at") < F.col("at")), "copy of an older file of another repository").when(elsewhere & (F.col("n") >= spread), "copy in several repositories")
     )
-    rows = files.where("not known").select("fid", "version", "repo", "body", "at").join(pairs, "body").join(about, "other").select("fid", "version", "contained", told.alias("evidence")).where("evidence is not null")
+    # A file is as old as the first one of its lines in its repository.
+    aged = files.where("not known").select("fid", "version", "repo", "body").join(owners.select("body", "repo", "at"), ["body", "repo"])
+    rows = aged.join(pairs, "body").join(about, "other").select("fid", "version", "contained", told.alias("evidence")).where("evidence is not null")
     return rows.groupBy("fid", "version").agg(F.max("contained").alias("contained"), F.min("evidence").alias("evidence"))
