@@ -24,39 +24,57 @@ from factweave.session import checkpoint, maybe_broadcast, own_columns, ship
 
 @dataclass(frozen=True)
 class Model:
-    """Unit centroids (K, d), codebooks (m, 16, d/m), the weight of the parallel error."""
+    """Unit centroids (K, d), codebooks (m, 16, d/m), the weight of the parallel error.
+
+    Many centroids have a level above: ``coarse`` (C, d), whose cell c holds the centroids from starts[c] to starts[c + 1].
+    """
 
     centroids: np.ndarray
     books: np.ndarray
     eta: float
-
-    def nearest(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` nearest partitions of each vector, nearest first."""
-        s = x @ self.centroids.T
-        count = min(count, s.shape[1])
-        top = np.argpartition(-s, count - 1, axis=1)[:, :count]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+    coarse: np.ndarray | None = None
+    starts: np.ndarray | None = None
+
+    def nearest(self, x: np.ndarray, count: int, cells: int = 8) -> np.ndarray:
+        """The ``count`` nearest partitions of each vector, nearest first; with two levels those of its ``cells`` nearest cells are looked at."""
+        count = min(count, len(self.centroids))
+        if self.coarse is None:
+            return _best(x @ self.centroids.T, count)
+        near = _best(x @ self.coarse.T, min(cells, len(self.coarse)))
+        score, part = np.full((len(x), count), -np.inf, np.float32), np.zeros((len(x), count), np.int64)
+        for c in np.unique(near):
+            rows = np.nonzero((near == c).any(1))[0]
+            lo, hi = self.starts[c], self.starts[c + 1]
+            both = np.hstack([score[rows], x[rows] @ self.centroids[lo:hi].T])
+            ids = np.hstack([part[rows], np.broadcast_to(np.arange(lo, hi), (len(rows), hi - lo))])
+            top = _best(both, count)
+            score[rows], part[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+        return part
 
     def encode(self, x: np.ndarray, part: np.ndarray, rounds: int = 2) -> np.ndarray:
         """Codes (n, m) of the residuals: coordinate descent on the anisotropic loss."""
         m, _, w = self.books.shape
-        r = (x - self.centroids[part]).reshape(len(x), m, w)
-        xs = x.reshape(len(x), m, w)
         codes = np.zeros((len(x), m), np.uint8)
-        for j in range(m):
-            codes[:, j] = ((r[:, j, None, :] - self.books[j]) ** 2).sum(2).argmin(1)
-        along = np.einsum("nmw,nmw->nm", xs, r - self.books[np.arange(m), codes])
-        total = along.sum(1)
-        for _ in range(rounds):
-            for j in range(m):
-                e = r[:, j, None, :] - self.books[j]
-                a = np.einsum("nw,nkw->nk", xs[:, j], e)
-                cost = (e**2).sum(2) + (self.eta - 1) * ((total - along[:, j])[:, None] + a) ** 2
-                best = cost.argmin(1)
-                codes[:, j] = best
-                new = a[np.arange(len(x)), best]
-                total += new - along[:, j]
-                along[:, j] = new
+        # A few thousand rows at a time: the work space of a round then stays in the processor's cache.
+        for lo in range(0, len(x), 2048):
+            xs = np.ascontiguousarray(x[lo : lo + 2048].reshape(-1, m, w).transpose(1, 0, 2), np.float32)
+            r = xs - np.ascontiguousarray(self.centroids[part[lo : lo + 2048]].reshape(-1, m, w).transpose(1, 0, 2), np.float32)
+            books = self.books.astype(np.float32)
+            # (m, n, 16): squared error and error along the vector of every codeword.
+            square = (r**2).sum(2)[:, :, None] - 2 * (r @ books.transpose(0, 2, 1)) + (books**2).sum(2)[:, None, :]
+            side = (xs * r).sum(2)[:, :, None] - xs @ books.transpose(0, 2, 1)
+            code = square.argmin(2)
+            along = np.take_along_axis(side, code[:, :, None], 2)[:, :, 0]
+            total = along.sum(0)
+            every = np.arange(xs.shape[1])
+            for _ in range(rounds):
+                for j in range(m):
+                    rest = total - along[j]
+                    best = (square[j] + np.float32(self.eta - 1) * (rest[:, None] + side[j]) ** 2).argmin(1)
+                    code[j] = best
+                    along[j] = side[j][every, best]
+                    total = rest + along[j]
+            codes[lo : lo + 2048] = code.T
         return codes
 
 
@@ -64,19 +82,51 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def fit(sample: np.ndarray, n: int, rows_per_part: int, max_parts: int, width: int, threshold: float, seed: int = 7) -> Model:
-    """Centroids and codebooks from a sample of unit vectors; n is the size of the whole collection."""
+def _best(s: np.ndarray, count: int) -> np.ndarray:
+    """The columns of the ``count`` largest values of each row, largest first."""
+    count = min(count, s.shape[1])
+    top = np.argpartition(-s, count - 1, axis=1)[:, :count]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+
+
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Unit centroids (k, d) of unit vectors; an empty cell keeps its centroid."""
+    c = x[rng.choice(len(x), k, replace=len(x) < k)].astype(np.float32)
+    for _ in range(rounds):
+        a = _assign(x, c)
+        order = np.argsort(a, kind="stable")
+        found, starts = np.unique(a[order], return_index=True)
+        sums = np.add.reduceat(x[order], starts, axis=0)
+        ok = np.linalg.norm(sums, axis=1) >= 1e-9
+        c[found[ok]] = unit(sums[ok])
+    return c
+
+
+def _assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[lo : lo + 8192] @ c.T).argmax(1) for lo in range(0, len(x), 8192)])
+
+
+#: From so many centroids on they are found, and looked up, in two levels.
+TWO_LEVELS = 2048
+
+
+def fit(sample: np.ndarray, parts: int, width: int, threshold: float, seed: int = 7) -> Model:
+    """Centroids and codebooks from a sample of unit vectors. The codebooks are fitted on at most 20,000 of them."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    parts = int(max(1, min(n // rows_per_part, max_parts, len(sample) // 8)))
-    c = sample[rng.choice(len(sample), parts, replace=False)].astype(np.float32)
-    for _ in range(12):
-        a = (sample @ c.T).argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, a, sample)
-        empty = np.linalg.norm(sums, axis=1) < 1e-9
-        c = np.where(empty[:, None], c, unit(sums)).astype(np.float32)
-    a = (sample @ c.T).argmax(1)
+    parts = int(max(1, min(parts, len(sample))))
+    coarse = starts = None
+    if parts < TWO_LEVELS:
+        c = kmeans(sample, parts, rng)
+    else:
+        coarse = kmeans(sample, int(np.sqrt(parts)), rng)
+        home = _assign(sample, coarse)
+        share = np.bincount(home, minlength=len(coarse)) * parts / len(sample)
+        cells = [kmeans(sample[home == i], max(1, round(n)), rng) if n > 0 else coarse[i : i + 1] for i, n in enumerate(share)]
+        starts, c = np.concatenate([[0], np.cumsum([len(x) for x in cells])]), np.concatenate(cells)
+    model = Model(c, np.zeros((d // width, 16, width), np.float32), 1.0, coarse, starts)
+    sample = sample[rng.choice(len(sample), min(len(sample), 20_000), replace=False)]
+    a = model.nearest(sample, 1)[:, 0]
     # Score-aware weight for unit vectors whose inner products matter above the threshold (Guo et al., 2020).
     eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
     m = d // width
@@ -84,8 +134,7 @@ def fit(sample: np.ndarray, n: int, rows_per_part: int, max_parts: int, width: i
     xs = sample.reshape(len(sample), m, width)
     books = r[rng.choice(len(r), 16, replace=len(r) < 16)].transpose(1, 0, 2).astype(np.float32).copy()
     for _ in range(8):
-        model = Model(c, books, eta)
-        codes = model.encode(sample, a, rounds=1)
+        codes = Model(c, books, eta).encode(sample, a, rounds=1)
         err = r - books[np.arange(m), codes]
         along = np.einsum("nmw,nmw->nm", xs, err)
         total = along.sum(1)
@@ -94,12 +143,11 @@ def fit(sample: np.ndarray, n: int, rows_per_part: int, max_parts: int, width: i
             x, y = xs[:, j], r[:, j]
             lhs = np.eye(width) + (eta - 1) * x[:, :, None] * x[:, None, :]
             rhs = y + (eta - 1) * x * (rest + (x * y).sum(1))[:, None]
-            left, right = np.zeros((16, width, width)), np.zeros((16, width))
-            np.add.at(left, codes[:, j], lhs)
-            np.add.at(right, codes[:, j], rhs)
-            seen = np.bincount(codes[:, j], minlength=16) > 0
+            chosen = np.eye(16)[codes[:, j]].T
+            left, right = (chosen @ lhs.reshape(len(x), -1)).reshape(16, width, width), chosen @ rhs
+            seen = chosen.any(1)
             books[j, seen] = np.linalg.solve(left[seen], right[seen][:, :, None])[:, :, 0]
-    return Model(c, books, eta)
+    return Model(c, books, eta, coarse, starts)
 
 
 def pack(codes: np.ndarray) -> np.ndarray:
@@ -118,9 +166,13 @@ def tables(model: Model, q: np.ndarray) -> np.ndarray:
     return (lut[:, 1::2, :, None] + lut[:, 0::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
 
 
-def scan(model: Model, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, parts: np.ndarray, packed: np.ndarray, keep: int, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the ``keep`` ids of the best table scores (itself left out), as (query number, id, score) triples."""
-    rows, cand, est = [], [], []
+def scan(model: Model, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, parts: np.ndarray, packed: np.ndarray, keep: int, k: int, slack: float, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the ids of the best table scores (itself left out), as (query number, id, score) triples, and each query's floor.
+
+    At most ``keep`` of a query, and none that lies ``slack`` below its k-th best. No code left out scores above the floor; it is
+    minus infinity if none was left out.
+    """
+    rows, cand, est, floors = [], [], [], []
     base = model.centroids[np.unique(parts)]
     where = np.searchsorted(np.unique(parts), parts)
     columns = [np.ascontiguousarray(packed[:, b]) for b in range(packed.shape[1])]
@@ -133,16 +185,26 @@ def scan(model: Model, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, parts: n
         top = np.argpartition(-s, min(keep, s.shape[1] - 1), axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
         best = np.take_along_axis(s, top, 1)
         ok = np.isfinite(best)
+        floor = best.min(1) if s.shape[1] > keep else np.full(len(best), -np.inf)
+        kth = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k] if best.shape[1] >= k else np.full((len(best), 1), -np.inf)
+        low = ok & (best < kth - slack)
+        floors.append(np.maximum(floor, np.where(low, best, -np.inf).max(1)))
+        ok &= ~low
         rows.append((lo + np.nonzero(ok)[0]))
         cand.append(ids[top[ok]])
         est.append(best[ok])
-    return np.concatenate(rows), np.concatenate(cand), np.concatenate(est)
+    return np.concatenate(rows), np.concatenate(cand), np.concatenate(est), np.concatenate(floors).astype(np.float32)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d)
 
 
+def _sample(rows: DataFrame, dim: int) -> np.ndarray:
+    column = rows.toArrow().column(0).combine_chunks()
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dim)
+
+
 def _bytes(x: np.ndarray) -> pa.Array:
     raw, w = np.ascontiguousarray(x).tobytes(), x.shape[1] * x.itemsize
     return pa.array([raw[i * w : (i + 1) * w] for i in range(len(x))], pa.binary())
@@ -178,10 +240,11 @@ def split_crowds(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(rest.select("id"), "id", "left_anti"), answers
 
 
-def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", dim: int = 64, k: int = 5, sample_rows: int = 20_000, rows_per_part: int = 512, max_parts: int = 4096, spill: int = 6, keep: int = 32, width: int = 2, threshold: float = 0.2, doubt: float = 3.0, query_block: int = 8192, code_block: int = 1 << 17) -> DataFrame:
+def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", dim: int = 64, k: int = 5, sample_rows: int = 20_000, rows_per_part: int = 512, max_parts: int = 1 << 16, spill: int = 6, keep: int = 32, slack: float = 0.25, width: int = 2, threshold: float = 0.2, doubt: float = 3.0, query_block: int = 8192, code_block: int = 1 << 17) -> DataFrame:
     """key, near, score, rank: the k vectors of highest cosine similarity to every usable vector (ties: the smaller id).
 
-    The index is fitted on at most about ``sample_rows`` rows and holds every row. Rows whose embedding is null, of another
+    The index holds every row and has a partition for each ``rows_per_part`` of them, up to ``max_parts``; it is fitted on about
+    ``sample_rows`` rows, or on eight rows a partition if those are more (half a million at most by default). Rows whose embedding is null, of another
     length, all zero, or has a null or NaN are left out; a repeated id is one vector (of different embeddings the least). Fewer than
     k other vectors give fewer rows. Extra columns are ignored; an empty table gives no rows.
     """
@@ -194,12 +257,14 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     if n < 2:
         return spark.createDataFrame([], out)
     rows, crowd_answers = split_crowds(rows, k)
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, sample_rows / n)))).select("e").limit(2 * sample_rows)
-    sample = np.array([r[0] for r in picked.collect()], np.float32)
+    parts = max(1, min(n // rows_per_part, max_parts))
+    wanted = max(sample_rows, 8 * parts)
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, wanted / n)))).select("e").limit(2 * wanted)
+    sample = _sample(picked, dim)
     if len(sample) < 64:
-        sample = np.array([r[0] for r in rows.select("e").limit(sample_rows).collect()], np.float32)
-    model = fit(unit(sample), n, rows_per_part, max_parts, width, threshold)
-    shared = spark.sparkContext.broadcast((model.centroids, model.books, model.eta))
+        sample = _sample(rows.select("e").limit(wanted), dim)
+    model = fit(unit(sample), min(parts, len(sample) // 8), width, threshold)
+    shared = spark.sparkContext.broadcast((model.centroids, model.books, model.eta, model.coarse, model.starts))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
@@ -235,11 +300,9 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
             return pa.table({"home": pa.array([], pa.int32()), "qb": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "est": pa.array([], pa.list_(pa.float32())), "floor": pa.array([], pa.float32())})
         qid = left.column("id").to_numpy()
         packed = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        row, near, est = scan(m, qid, unit(_matrix(left.column("vec"), dim, np.float32)), right.column("id").to_numpy(), right.column("part").to_numpy(), packed, keep)
+        row, near, est, floor = scan(m, qid, unit(_matrix(left.column("vec"), dim, np.float32)), right.column("id").to_numpy(), right.column("part").to_numpy(), packed, keep, k, slack)
         # One row a query: its candidates as a list (``row`` is in order).
         ends = np.searchsorted(row, np.arange(len(qid) + 1))
-        # No code left out scores above the floor; if none was left out there is no floor.
-        floor = np.array([est[a:b].min() if b - a >= keep else -np.inf for a, b in zip(ends[:-1], ends[1:], strict=True)], np.float32)
         same = lambda c: pa.array(np.full(len(qid), left.column(c)[0].as_py(), np.int32))
         return pa.table({"home": same("home"), "qb": same("qb"), "id": pa.array(qid), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near, pa.int64())), "est": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(est, pa.float32())), "floor": pa.array(floor)})
 
@@ -252,7 +315,9 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     listed = lists.join(indexed.select("id", "vec"), "id").select("home", "qb", "id", "vec", "near", "est", "floor").toDF("home", "qb", "id", "vec", "near", "est", "floor")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, ns, ss, rs, us = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+        errors: list[np.ndarray] = []
+        bound = 0.0
+        qs, ns, ss, rs, us = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
             ids = right.column("id").to_numpy()
             order = np.argsort(ids)
@@ -266,9 +331,13 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
                 ns.append(near[top])
                 ss.append(score[top])
                 rs.append(np.arange(1, len(top) + 1, dtype=np.int32))
-                err = score - np.array(est)[first]
-                us.append(np.full(len(top), len(near) < min(keep, n - 1) or score[top[-1]] - floor < err.mean() + doubt * err.std() + 1e-6))
-        return pa.table({key: np.concatenate(qs), "near": np.concatenate(ns), "score": np.concatenate(ss), "rank": np.concatenate(rs), "unsure": np.concatenate(us)})
+                errors.append(score - np.array(est)[first])
+                # Of a query from which nothing was left out, all others must have been seen.
+                us.append(np.full(len(top), np.inf if floor == -np.inf and len(near) < n - 1 else floor - score[top[-1]] if len(near) >= k else np.inf))
+            # The error of the codes is told from all candidates of the block: one query has few.
+            err = np.concatenate([np.zeros(0), *errors])
+            bound = -(err.mean() + doubt * err.std() + 1e-6) if len(err) else 0.0
+        return pa.table({key: np.concatenate(qs), "near": np.concatenate(ns), "score": np.concatenate(ss), "rank": np.concatenate(rs), "unsure": np.concatenate(us) > bound})
 
     found = checkpoint(listed.groupBy("home", "qb").cogroup(named.groupBy("home", "qb")).applyInArrow(rerank, f"{out}, unsure boolean"))
     last = found.where(F.col("rank") == min(k, n - 1)).select(F.col(key).alias("id"), "score", "unsure")

@@ -79,7 +79,7 @@ def test_anisotropic_codes_keep_inner_products():
     x = N.unit(rng.normal(size=(2000, 64))).astype(np.float32)
     err = {}
     for t in (0.0, 0.4):
-        m = N.fit(x, 2000, 500, 64, 2, t)
+        m = N.fit(x, 4, 2, t)
         part = m.nearest(x, 1)[:, 0]
         codes = m.encode(x, part)
         back = m.centroids[part] + m.books[np.arange(32), codes].reshape(len(x), 64)
@@ -90,7 +90,7 @@ def test_anisotropic_codes_keep_inner_products():
 def test_packed_tables_equal_decoding():
     rng = np.random.default_rng(6)
     x = N.unit(rng.normal(size=(200, 64))).astype(np.float32)
-    m = N.fit(x, 200, 50, 64, 2, 0.2)
+    m = N.fit(x, 4, 2, 0.2)
     part = m.nearest(x, 1)[:, 0]
     codes = m.encode(x, part)
     t = N.tables(m, x[:3])
@@ -121,3 +121,21 @@ def test_copies_up_to_length(spark):
     x[:60] = x[0] * 2.0 ** (np.arange(60) % 9 - 4)[:, None]
     kept, answers = N.split_crowds(frame(spark, x).toDF("id", "e", "a", "b").select("id", "e"), 5)
     assert kept.count() == 66 and answers.count() == 54 * 5
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    """Many partitions: found and looked up in two levels; every vector has a home, and the pairs stay those of brute force."""
+    monkeypatch.setattr(N, "TWO_LEVELS", 8)
+    rng = np.random.default_rng(5)
+    centers = N.unit(rng.normal(size=(150, 64)))
+    x = N.unit(np.repeat(centers, 12, axis=0) + rng.normal(scale=0.04, size=(1800, 64))).astype(np.float32)
+    m = N.fit(x, 60, 2, 0.2)
+    assert m.coarse is not None and m.starts[-1] == len(m.centroids) and abs(len(m.centroids) - 60) < 12
+    flat = N._best(x @ m.centroids.T, 1)[:, 0]
+    assert (m.nearest(x, 6)[:, 0] == flat).mean() > 0.98
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["vec_id"], r["near"]) for r in N.most_similar(df, rows_per_part=30, sample_rows=1000).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    assert len(got & want) / len(want) > 0.99
