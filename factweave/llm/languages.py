@@ -12,14 +12,15 @@ import math
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.leakage import fold, item_blocks
-from factweave.session import own_columns, ship
+from factweave.session import checkpoint, own_columns, ship
 
 # The languages and the names they are labelled with (codes, English and own names).
 NAMES = {
@@ -31,10 +32,13 @@ BY_NAME = {n: code for code, names in NAMES.items() for n in names.split()}
 _FENCE = re.compile(r"(?ms)^[ \t>]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*\1[^\n]*$|\Z)")
 _INLINE = re.compile(r"`+[^`\n]*`+")
 _URL = re.compile(r"(?:https?|ftp|file)://\S+|www\.\S+|\S+@\S+\.\w+")
-_TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>")
 _LEAD = re.compile(r"^[ \t]*(?:>[ \t]?)*(?:#{1,6}[ \t]+|[-*+•][ \t]+|\d+[.)][ \t]+|\|)?[ \t]*")
+_QUOTES = re.compile(r"[\"“”„«»‹›「」『』]")
 _QUOTE = re.compile(r"[\"“”„«»‹›「」『』][^\"“”„«»‹›「」『』\n]{0,60}[\"“”„«»‹›「」『』]")
 _CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|func|import|from|return|const|let|var|if|for|while|async|await|export|interface|type|package|public|private|static)\b.*[=({:;\[]|:=|=>|\w\(\w*\)\s*[;{:]|^\s*[\[{].*[\]}],?\s*$|^\s*(?:GET|POST|PUT|DELETE|PATCH)\s+/|^[\w.-]+\s*=\s*\S+$")
+#: What every form of _CODE has in it; most lines of prose have none of these.
+_CODEY = re.compile(r"[{};=(\[:/]")
 _SPLIT = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？；])")
 _ACCENT = re.compile("[\u0300-\u036f]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,7 +53,7 @@ def normal(text: str) -> str:
     if not text.isascii():
         # Accents are often lost on the way, so they are not relied on.
         text = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", text)))
-    return re.sub(r"[\W\d_]+", " ", text.casefold()).strip()
+    return " ".join(_WORD.findall(text.casefold()))
 
 
 def sentences(text: str) -> list[str]:
@@ -65,13 +69,13 @@ def sentences(text: str) -> list[str]:
     def close() -> None:
         if part:
             whole = "".join(a if a.endswith("-") or _HAN.match(a[-1:]) else a + " " for a in part)
-            out.extend(_SPLIT.split(_QUOTE.sub(" ", whole)))
+            out.extend(_SPLIT.split(_QUOTE.sub(" ", whole) if _QUOTES.search(whole) else whole))
             part.clear()
 
     for line in text.split("\n"):
         marked = _LEAD.match(line)
         body = line[marked.end() :].strip()
-        skip = not body or _CODE.search(body) is not None
+        skip = not body or (_CODEY.search(body) is not None and _CODE.search(body) is not None)
         if skip or marked[0].strip():
             close()
         if skip:
@@ -118,23 +122,35 @@ class Compressor:
             by_script[script(texts[c].decode(errors="ignore"))].append(i)
         # A single dictionary has no runner-up of its own script: the margin then is to those of the others.
         self.of_script = {s: by_script[s] if len(by_script[s]) > 1 else range(len(self.codes)) for s in "LCH"}
-        self.cache: dict[str, tuple[str | None, float]] = {}
-
-    def sizes(self, text: str) -> list[tuple[int, str]]:
-        """(compressed bytes, language), smallest first."""
-        raw = text.encode()
-        return sorted((len(self.by[i].compress(raw)), self.codes[i]) for i in self.of_script[script(text)])
-
-    def language(self, text: str, margin: float) -> tuple[str | None, float]:
-        """The language of a normal text and the confidence (the runner-up's excess over the best), None if narrow."""
-        hit = self.cache.get(text)
-        if hit is None:
-            order = self.sizes(text)
-            gap = (order[1][0] - order[0][0]) / order[1][0] if len(order) > 1 else 1.0
-            hit = (order[0][1] if gap >= margin else None, gap)
-            if len(self.cache) < 50_000:
-                self.cache[text] = hit
-        return hit
+        self.cache: dict[str, list[tuple[int, str]]] = {}
+
+    def sizes(self, texts: list[str]) -> dict[str, list[tuple[int, str]]]:
+        """Of every text the two smallest (compressed bytes, language), smallest first.
+
+        All texts of a script meet one dictionary before the next: its tables then stay in the processor's cache.
+        """
+        fresh: dict[str, list[str]] = {"L": [], "C": [], "H": []}
+        for x in dict.fromkeys(texts):
+            if x not in self.cache:
+                fresh[script(x)].append(x)
+        if len(self.cache) > 200_000:
+            self.cache = {x: self.cache[x] for x in set(texts) if x in self.cache}
+        for key, xs in fresh.items():
+            raws = [x.encode() for x in xs]
+            which = list(self.of_script[key]) if xs else []
+            got = np.array([[len(c) for c in map(self.by[i].compress, raws)] for i in which]) if xs else np.zeros((0, 0), int)
+            if len(which) > 1:
+                order = np.argsort(got, axis=0, kind="stable")[:2]
+                self.cache.update((x, [(int(got[a, n]), self.codes[which[a]]), (int(got[b, n]), self.codes[which[b]])]) for n, (x, a, b) in enumerate(zip(xs, *order, strict=True)))
+            elif which:
+                self.cache.update((x, [(int(got[0, n]), self.codes[which[0]])]) for n, x in enumerate(xs))
+        return {x: self.cache[x] for x in texts}
+
+
+def decide(order: list[tuple[int, str]], margin: float) -> tuple[str | None, float]:
+    """The language of a text and the confidence (the runner-up's excess over the best), None if narrow."""
+    gap = (order[1][0] - order[0][0]) / order[1][0] if len(order) > 1 else 1.0
+    return (order[0][1] if gap >= margin else None, gap)
 
 
 def label_code(label):
@@ -143,7 +159,7 @@ def label_code(label):
     return F.try_element_at(names, F.regexp_replace(F.lower(F.trim(label)), r"[-_ (].*$", ""))
 
 
-def fit(docs: DataFrame, text: str, label: str, per_language: int, size: int, rounds: int, margin: float) -> dict[str, bytes]:
+def fit(docs: DataFrame, text: str, label: str, per_language: int, size: int, rounds: int) -> dict[str, bytes]:
     """The dictionaries. At most about ``per_language`` labelled documents of each language, none over 8,000 characters, come to the driver."""
     known = own_columns(docs, text, label).select(F.col(text).alias("t"), label_code(F.col(label)).alias("c")).where("c is not null and length(t) between 40 and 8000")
     counts = {r[0]: r[1] for r in known.groupBy("c").count().collect()}
@@ -213,25 +229,51 @@ def hash_of(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-def judge(text: str, z: Compressor, margin: float, shingles: frozenset, vocabulary: frozenset = frozenset()) -> list[tuple[int, str, str | None, float]]:
-    """(segment number, segment, language or None, confidence) of each running sentence."""
-    out = []
-    for i, s in enumerate(sentences(text)):
-        x = running(s)
-        if x is None:
-            continue
-        if shingles:
-            w = fold(s)
-            # Four words of an excluded text in a row need four words of theirs.
-            hits = [j for j in range(len(w) - 3) if hash_of(" ".join(w[j : j + 4])) in shingles] if sum(a in vocabulary for a in w) >= 4 else ()
-            if hits:
-                # What stands round the excluded words may still be a sentence: an item need not be set off from the text.
-                gone = {k for j in hits for k in range(j - 3, j + 7)}
-                x = running(" ".join(a for k, a in enumerate(w) if k not in gone))
-                if x is None:
-                    continue
-        out.append((i, s, *z.language(x, margin)))
-    return out
+_FOUR = b"\1\1\1\1"
+
+
+class Judge:
+    """Tells the languages of documents, a batch at a time. ``shingles`` are the hashes of four successive words of the excluded texts."""
+
+    def __init__(self, texts: dict[str, bytes], margin: float, pooled_margin: float, shingles: frozenset, vocabulary: frozenset):
+        self.z, self.margin, self.pooled_margin, self.shingles, self.vocabulary = Compressor(texts), margin, pooled_margin, shingles, vocabulary
+
+    def _without(self, s: str, x: str, shingles: frozenset | set, vocabulary: frozenset | None) -> str | None:
+        """The running text of a sentence that is left without the excluded words in it and three round them: an item need not be set off."""
+        w = fold(s)
+        # Four words of an excluded text in a row need four words of theirs in a row.
+        if vocabulary is not None and _FOUR not in (flags := bytes(map(vocabulary.__contains__, w))):
+            return x
+        hits = [j for j in range(len(w) - 3) if (vocabulary is None or flags.startswith(_FOUR, j)) and hash_of(" ".join(w[j : j + 4])) in shingles]
+        if not hits:
+            return x
+        gone = {k for j in hits for k in range(j - 3, j + 7)}
+        return running(" ".join(a for k, a in enumerate(w) if k not in gone))
+
+    def segments(self, texts: list[str], own: list[set] | None = None) -> list[list[tuple[int, str, str | None, float]]]:
+        """(segment number, segment, language or None, confidence) of each running sentence of each text.
+
+        ``own`` gives, if the excluded texts are too many to be held, the hashes of theirs that stand in each text. Where every sentence
+        of a text is rejected, its running text as a whole is judged, by ``pooled_margin``: a long text needs less of a margin.
+        """
+        all_: list[list[tuple[int, str, str]]] = []
+        for n, t in enumerate(texts):
+            found = [(i, s, x) for i, s in enumerate(sentences(t)) if (x := running(s)) is not None]
+            if own is not None:
+                if own[n]:
+                    found = [(i, s, y) for i, s, x in found if (y := self._without(s, x, own[n], None)) is not None]
+            elif self.shingles:
+                found = [(i, s, y) for i, s, x in found if (y := self._without(s, x, self.shingles, self.vocabulary)) is not None]
+            all_.append(found)
+        sizes = self.z.sizes([x for found in all_ for _, _, x in found])
+        out = [[(i, s, *decide(sizes[x], self.margin)) for i, s, x in found] for found in all_]
+        narrow = [n for n, rows in enumerate(out) if len(rows) > 1 and not any(c for _, _, c, _ in rows)]
+        pooled = {n: " ".join(x for _, _, x in all_[n]) for n in narrow}
+        sizes = self.z.sizes(list(pooled.values()))
+        for n, x in pooled.items():
+            code, gap = decide(sizes[x], self.pooled_margin)
+            out[n] = [(i, s, code, gap) for i, s, _, _ in out[n]]
+        return out
 
 
 SEGMENTS = "segment_no int, segment string, segment_lang string, confidence double"
@@ -246,63 +288,76 @@ def languages_of(found: list[tuple[int, str, str | None, float]]) -> dict[str, t
     return {c: (sum(g * n for g, n in xs) / sum(n for _, n in xs), sum(n for _, n in xs)) for c, xs in by.items()}
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.22, exclude_limit: int = 200_000) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.22, pooled_margin: float = 0.1, held_items: int = 200_000) -> DataFrame:
     """key, label (as a code or null), lang_code, confidence, n_chars, n_langs: one row per document row and language it is written in.
 
     Documents without a running sentence (null, empty, blank, numbers, code) have no row. ``exclude`` are texts that are no
-    language of their own, such as evaluation items: sentences with four successive words of one are passed over; their
-    number is checked against ``exclude_limit``. Sampled for fitting: about ``per_language`` labelled documents a language; all
-    documents are judged, over their whole text. Repeated rows count each; extra columns are ignored; an empty table, or one
-    without any known label, gives no rows.
+    language of their own, such as evaluation items: four successive words of one, and what stands next to them, are left out. Up to
+    ``held_items`` of them are sent to the executors; more are joined with the documents by their words, with the same result. Sampled for
+    fitting: about ``per_language`` labelled documents a language; all documents are judged, over their whole text. Repeated rows count
+    each; extra columns are ignored; an empty table, or one without any known label, gives no rows.
     """
-    docs = own_columns(docs, key, text, label)
-    spark = ship(docs.sparkSession)
-    z, shingles, vocabulary = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
     types = f"{key} {docs.schema[key].dataType.simpleString()}, label string, lang_code string, confidence double, n_chars long, n_langs int"
-    if not z:
-        return spark.createDataFrame([], types)
-    shared = spark.sparkContext.broadcast((z, shingles, vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, skip, words = Compressor(shared.value[0]), shared.value[1], shared.value[2]
-        for b in batches:
-            rows = []
-            for k, t, given in b.itertuples(index=False, name=None):
-                langs = languages_of(judge(t, c, margin, skip, words))
-                rows += [(k, given, code, conf, n, len(langs)) for code, (conf, n) in langs.items()]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in types.split(", ")])
+    def rows(k: object, given: str | None, found: list) -> list[tuple]:
+        langs = languages_of(found)
+        return [(k, given, code, conf, n, len(langs)) for code, (conf, n) in langs.items()]
 
-    return docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text, label_code(F.col(label)).alias("label")).mapInPandas(run, types)
+    return _judged(docs, key, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, pooled_margin, held_items, types, rows)
 
 
-def identify_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.22, exclude_limit: int = 200_000) -> DataFrame:
+def identify_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", exclude: DataFrame | None = None, exclude_key: str = "item_id", exclude_text: str = "item_text", per_language: int = 400, size: int = 96 << 10, rounds: int = 3, margin: float = 0.22, pooled_margin: float = 0.1, held_items: int = 200_000) -> DataFrame:
     """key, segment_no, segment, segment_lang (null where rejected), confidence: one row per running sentence; else as identify."""
+    types = f"{key} {docs.schema[key].dataType.simpleString()}, {SEGMENTS}"
+    return _judged(docs, key, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, pooled_margin, held_items, types, lambda k, given, found: [(k, *s) for s in found])
+
+
+def _judged(docs: DataFrame, key: str, text: str, label: str, exclude: DataFrame | None, exclude_key: str, exclude_text: str, per_language: int, size: int, rounds: int, margin: float, pooled_margin: float, held_items: int, types: str, rows: Callable) -> DataFrame:
     docs = own_columns(docs, key, text, label)
     spark = ship(docs.sparkSession)
-    z, shingles, vocabulary = _fitted(docs, text, label, exclude, exclude_key, exclude_text, per_language, size, rounds, margin, exclude_limit)
-    types = f"{key} {docs.schema[key].dataType.simpleString()}, {SEGMENTS}"
-    if not z:
+    dictionaries_ = fit(docs, text, label, per_language, size, rounds)
+    if not dictionaries_:
         return spark.createDataFrame([], types)
-    shared = spark.sparkContext.broadcast((z, shingles, vocabulary))
+    cols = [c.split()[0] for c in types.split(", ")]
+    work = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label)).alias("given"))
+    shingles, vocabulary, joined = frozenset(), frozenset(), False
+    if exclude is not None:
+        items = own_columns(exclude, exclude_key, exclude_text)
+        joined = items.count() > held_items
+        if joined:
+            work = _with_hits(work, items.select(F.col(exclude_text).alias("t")))
+        else:
+            parts = [w for part in item_blocks(items, exclude_key, exclude_text, 20_000) for _, w in part]
+            shingles = frozenset(h for w in parts for h in hashes_of(w))
+            vocabulary = frozenset(a for w in parts for a in w)
+    shared = spark.sparkContext.broadcast((dictionaries_, margin, pooled_margin, shingles, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, skip, words = Compressor(shared.value[0]), shared.value[1], shared.value[2]
+        judge = Judge(*shared.value)
         for b in batches:
-            yield pd.DataFrame([(k, *s) for k, t in b.itertuples(index=False, name=None) for s in judge(t, c, margin, skip, words)], columns=[c.split()[0] for c in types.split(", ")])
+            found = judge.segments(b["t"].tolist(), [set(h) for h in b["hits"]] if joined else None)
+            yield pd.DataFrame([r for k, given, f in zip(b["k"], b["given"], found, strict=True) for r in rows(k, given, f)], columns=cols)
 
-    return docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text).mapInPandas(run, types)
+    return work.mapInPandas(run, types)
 
 
-def _fitted(docs: DataFrame, text: str, label: str, exclude: DataFrame | None, exclude_key: str, exclude_text: str, per_language: int, size: int, rounds: int, margin: float, exclude_limit: int) -> tuple[dict[str, bytes], frozenset, frozenset]:
-    """The dictionaries, the hashes of four successive words of the excluded texts, and their words."""
-    shingles: set[int] = set()
-    vocabulary: set[str] = set()
-    if exclude is not None:
-        n = exclude.count()
-        if n > exclude_limit:
-            raise ValueError(f"{n} texts to exclude; the limit is {exclude_limit}")
-        for part in item_blocks(exclude, exclude_key, exclude_text, 20_000):
-            for _, w in part:
-                shingles.update(hash_of(" ".join(w[j : j + 4])) for j in range(len(w) - 3))
-                vocabulary.update(w)
-    return fit(docs, text, label, per_language, size, rounds, margin), frozenset(shingles), frozenset(vocabulary)
+def hashes_of(words: list[str] | tuple[str, ...]) -> list[int]:
+    """The hashes of four successive words."""
+    return [hash_of(" ".join(words[j : j + 4])) for j in range(len(words) - 3)]
+
+
+def _with_hits(work: DataFrame, items: DataFrame) -> DataFrame:
+    """work with hits: the hashes of four successive words of any item that stand in a row's sentences, by a join of hashes."""
+    work = checkpoint(work.withColumn("row", F.monotonically_increasing_id()))
+
+    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(r, h) for r, t in b.itertuples(index=False, name=None) for h in {h for s in sentences(t) for h in hashes_of(fold(s))}], columns=["row", "h"])
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": [h for t in b["t"] for h in set(hashes_of(fold(t)))]}, dtype="int64")
+
+    known = items.where("t is not null").mapInPandas(of_items, "h long").distinct()
+    hits = work.select("row", "t").mapInPandas(of_docs, "row long, h long").join(known, "h", "left_semi").groupBy("row").agg(F.collect_list("h").alias("hits"))
+    return work.join(hits, "row", "left").select("k", "t", "given", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"))
