@@ -171,13 +171,27 @@ def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
 
-def document_pairs(symbols: DataFrame, inherit: bool = True, max_depth: int = 32) -> DataFrame:
+def _resolved(rows: DataFrame, classes: DataFrame, name: str, into: str) -> DataFrame:
+    """rows (project, file, and a class name) with the class meant: the one in the same file, else in the same folder, else the only one of the project.
+
+    Each place has one class a name, so the joins multiply nothing, however often a name is used. A name of several classes elsewhere means none.
+    """
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    here = classes.select("project", "file", F.col("name").alias(name), F.concat_ws(":", "file", "name").alias("_here"))
+    near = classes.groupBy("project", folder.alias("_folder"), F.col("name").alias(name)).agg(F.min("file").alias("f"), F.count(F.lit(1)).alias("n")).where("n = 1").select("project", "_folder", name, F.concat_ws(":", "f", name).alias("_near"))
+    only = classes.groupBy("project", F.col("name").alias(name)).agg(F.min("file").alias("f"), F.count(F.lit(1)).alias("n")).where("n = 1").select("project", name, F.concat_ws(":", "f", name).alias("_only"))
+    found = rows.withColumn("_folder", folder).join(here, ["project", "file", name], "left").join(near, ["project", "_folder", name], "left").join(only, ["project", name], "left")
+    return found.withColumn(into, F.coalesce("_here", "_near", "_only")).drop("_folder", "_here", "_near", "_only")
+
+
+def document_pairs(symbols: DataFrame, inherit: bool = True) -> DataFrame:
     """symbol_key, symbol_id, signature, code, description, origin (own or inherited): one row per documented function row.
 
-    A method without a statement of its own gets that of the nearest ancestor class that has one for a method of this name
-    (``max_depth`` only bounds cyclic hierarchies; the loop ends when nothing is left to resolve). Repeated rows count each.
-    Nulls: null kind is told from the content; null signature stays null; rows with null doc_comment and null content
-    are dropped. Empty texts are no documentation. Extra columns are ignored; an empty table gives an empty result.
+    A method without a statement of its own gets that of the nearest ancestor class that has one for a method of this name. Classes
+    are told apart by file and name; a base is the class of its name in the same file, else folder, else project. The loop ends when nothing
+    is left to resolve; a class met again (a cyclic hierarchy) is not followed twice. Repeated rows count each. Nulls: null kind is told
+    from the content; null signature stays null; rows with null doc_comment and null content are dropped. Empty texts are no documentation.
+    Extra columns are ignored; an empty table gives an empty result.
     """
     cols = own_columns(symbols, "symbol_key", "symbol_id", "symbol_name", "symbol_kind", "receiver_type", "signature", "doc_comment", "symbol_content")
     ship(cols.sparkSession)
@@ -185,24 +199,26 @@ def document_pairs(symbols: DataFrame, inherit: bool = True, max_depth: int = 32
     out = ["symbol_key", "symbol_id", "signature", "code", "description"]
     if not inherit:
         return parsed.where("kind = 'function' and description is not null").select(*out, F.lit("own").alias("origin"))
-    parsed = checkpoint(parsed)
+    parsed = checkpoint(parsed.withColumn("file", F.substring_index("symbol_id", ":", 1)))
     own = parsed.where("kind = 'function' and description is not null").select(*out, F.lit("own").alias("origin"))
-    supers = parsed.where("kind = 'class' and size(bases) > 0").select("project", F.col("name").alias("at"), F.explode("bases").alias("base")).distinct()
-    waiting = parsed.where("kind = 'function' and description is null and owner is not null").select("symbol_key", "symbol_id", "project", "owner", "name", "signature", "code").withColumn("at", F.col("owner"))
-    # One description per class and method: the least one, so repeated rows cannot multiply.
-    sources = parsed.where("kind = 'function' and description is not null and owner is not null").groupBy("project", F.col("owner").alias("base"), "name").agg(F.min("description").alias("description"))
-    results = [own]
+    heads = parsed.where("kind = 'class' and file is not null")
+    classes = heads.select("project", "file", "name").distinct()
+    bases = heads.where("size(bases) > 0").select("project", "file", F.concat_ws(":", "file", "name").alias("at"), F.explode("bases").alias("base_name")).distinct()
+    supers = checkpoint(_resolved(bases, classes, "base_name", "base").where("base is not null and base <> at").select("at", "base").distinct())
     if supers.isEmpty():
         return own
-    for _ in range(max_depth):
-        step = checkpoint(waiting.join(supers, ["project", "at"]).join(sources, ["project", "base", "name"], "left"))
+    methods = _resolved(parsed.where("kind = 'function' and owner is not null and file is not null"), classes, "owner", "at").where("at is not null")
+    # One description per class and method: the least one, so repeated rows cannot multiply.
+    sources = checkpoint(methods.where("description is not null").groupBy(F.col("at").alias("base"), "name").agg(F.min("description").alias("found")))
+    waiting = methods.where("description is null").select("symbol_key", "symbol_id", "name", "signature", "code", "at")
+    results, seen = own, waiting.select("symbol_key", "at")
+    while True:
+        step = checkpoint(waiting.join(supers, "at").drop("at").join(sources, ["base", "name"], "left"))
         if step.isEmpty():
-            break
+            return results
         # Several bases: the first by name that has a description, for each function row.
-        done = step.where("description is not null").groupBy("symbol_key").agg(F.min_by(F.struct("symbol_id", "signature", "code", "description"), F.struct("base", "symbol_id")).alias("r"))
-        results.append(done.select("symbol_key", "r.*", F.lit("inherited").alias("origin")))
-        waiting = step.join(done.select("symbol_key"), "symbol_key", "left_anti").select("symbol_key", "symbol_id", "project", "owner", "name", "signature", "code", F.col("base").alias("at")).distinct()
-    found = results[0]
-    for r in results[1:]:
-        found = found.unionByName(r)
-    return found
+        done = step.where("found is not null").groupBy("symbol_key").agg(F.min_by(F.struct("symbol_id", "signature", "code", F.col("found").alias("description")), F.struct("base", "symbol_id")).alias("r"))
+        results = results.unionByName(done.select("symbol_key", "r.*", F.lit("inherited").alias("origin")))
+        further = step.join(done.select("symbol_key"), "symbol_key", "left_anti").withColumnRenamed("base", "at").drop("found").distinct()
+        waiting = checkpoint(further.join(seen, ["symbol_key", "at"], "left_anti"))
+        seen = seen.unionByName(waiting.select("symbol_key", "at"))

@@ -47,3 +47,17 @@ def test_empty_and_long(spark):
     assert document_pairs(frame(spark, [])).count() == 0
     long = [("a.py:f", "f", "function", None, None, "Reads the facts of a topic. " * 20_000, "x" * 500_000)]
     assert document_pairs(frame(spark, long)).count() == 1
+
+
+def test_classes_of_one_name_and_cycles(spark):
+    """Two classes Base of one project keep their own documentation; hierarchies may be deep or cyclic."""
+    cls = lambda f, n, base: (f"p/{f}:{n}", n, "class", None, None, None, f"class {n}({base}):\n    pass")
+    run = lambda f, n, doc: (f"p/{f}:{n}.run", "run", "method", n, None, doc, "def run(self):\n    pass")
+    data = [
+        cls("x/a.py", "Base", "object"), run("x/a.py", "Base", "Reads every row of the table."), cls("y/a.py", "Base", "object"), run("y/a.py", "Base", "Sends the whole message again."),
+        cls("x/b.py", "Leaf", "Base"), run("x/b.py", "Leaf", None), cls("y/b.py", "Twig", "Base"), run("y/b.py", "Twig", None), cls("z/b.py", "Lost", "Base"), run("z/b.py", "Lost", None),
+        cls("c/1.py", "Ring", "Gnir"), cls("c/2.py", "Gnir", "Ring"), run("c/1.py", "Ring", None),
+        *(cls("d/d.py", f"D{i}", f"D{i + 1}") for i in range(34)), cls("d/d.py", "D34", "object"), run("d/d.py", "D34", "Closes all of the open files."), run("d/d.py", "D0", None),
+    ]
+    got = {i: d for i, o, d in rows(document_pairs(frame(spark, data)), "symbol_id", "origin", "description") if o == "inherited"}
+    assert got == {"p/x/b.py:Leaf.run": "Reads every row of the table.", "p/y/b.py:Twig.run": "Sends the whole message again.", "p/d/d.py:D0.run": "Closes all of the open files."}
