@@ -8,7 +8,6 @@ to: wrong labels and mixed documents so lose their hold.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -190,12 +189,9 @@ def dictionaries(labelled: list[tuple[str, list[str]]], size: int, rounds: int)
             for w in {w for x in xs for w in _units(x)}:
                 counts[w][c] += 1
             total[c] += 1
-        again = []
-        for x in sorted({x for _, xs in now for x in xs}):
-            units = _units(x)
-            score = {c: sum(math.log((counts[w][c] + 0.02) / (total[c] + 1)) for w in units) for c in total}
-            again.append((max(score, key=lambda c, score=score: (score[c], c)), [x]))
-        now = again
+        codes = sorted(total, reverse=True)
+        likely = {w: np.log([(by[c] + 0.02) / (total[c] + 1) for c in codes]) for w, by in counts.items()}
+        now = [(codes[int(np.sum([likely[w] for w in _units(x)], axis=0).argmax())], [x]) for x in sorted({x for _, xs in now for x in xs})]
     texts: dict[str, list[str]] = defaultdict(list)
     for c, xs in now:
         texts[c] += xs
