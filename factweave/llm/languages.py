@@ -29,6 +29,7 @@ NAMES = {
 BY_NAME = {n: code for code, names in NAMES.items() for n in names.split()}
 
 _FENCE = re.compile(r"(?ms)^[ \t>]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*\1[^\n]*$|\Z)")
+_BREAKS = re.compile(r"\r\n?|\x0b|\x0c|\x85| | ")
 _INLINE = re.compile(r"`+[^`\n]*`+")
 _URL = re.compile(r"(?:https?|ftp|file)://\S+|www\.\S+|\S+@\S+\.\w+")
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>")
@@ -57,7 +58,8 @@ def normal(text: str) -> str:
 
 def sentences(text: str) -> list[str]:
     """The running sentences of a document; code, quoted terms, names, headings' marks and addresses are left out."""
-    text = re.sub(r"\r\n?|\x0b|\x0c|\x85| | ", "\n", text)
+    if _BREAKS.search(text):
+        text = _BREAKS.sub("\n", text)
     text = _INLINE.sub(" ", _FENCE.sub("\n\n", text)) if "`" in text or "~~~" in text else text
     if "<" in text:
         text = _TAG.sub(" ", text)
@@ -182,16 +184,17 @@ def dictionaries(labelled: list[tuple[str, list[str]]], size: int, rounds: int)
     for _, xs in now:
         for x in xs:
             often[x] += 1
+    parts = {x: _units(x) for x in often}
     for _ in range(rounds):
         counts: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         total: dict[str, int] = defaultdict(int)
         for c, xs in now:
-            for w in {w for x in xs for w in _units(x)}:
+            for w in set().union(*(parts[x] for x in xs)):
                 counts[w][c] += 1
             total[c] += 1
         codes = sorted(total, reverse=True)
         likely = {w: np.log([(by[c] + 0.02) / (total[c] + 1) for c in codes]) for w, by in counts.items()}
-        now = [(codes[int(np.sum([likely[w] for w in _units(x)], axis=0).argmax())], [x]) for x in sorted({x for _, xs in now for x in xs})]
+        now = [(codes[int(np.sum([likely[w] for w in parts[x]], axis=0).argmax())], [x]) for x in sorted({x for _, xs in now for x in xs})]
     texts: dict[str, list[str]] = defaultdict(list)
     for c, xs in now:
         texts[c] += xs
