@@ -135,7 +135,7 @@ def page(nodes: DataFrame, links: DataFrame, offset: int = 0, limit: int = 100,
         part = with_index(nodes, ["id"], "place").where(F.col("place").between(offset, offset + limit - 1)).drop("place")
     ids = part.select("id")
     inside = links.join(F.broadcast(ids.select(F.col("id").alias("source"))), "source", "left_semi").join(F.broadcast(ids.select(F.col("id").alias("target"))), "target", "left_semi")
-    return part, inside
+    return part, inside.select(*links.columns)
 
 
 def merge_graphs(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.engine import Engine, check_text
 from factweave.functions import text as X
-from factweave.operators import enrich, hydrate, search
+from factweave.operators import enrich, filegraph, hydrate, search
 from factweave.plans import agent, nl
 from factweave.plans.datalog import QueryError
 from factweave.plans.registry import QueryDefinition, Registry, fill, read_rules
@@ -185,3 +185,83 @@ def test_project_files(tmp_path):
     assert [p["name"] for p in store.list_projects(str(tmp_path))] == ["One", "two"]
     (tmp_path / "project.yaml").write_text("name: x\ntags: [a, b]\ncomponents:\n  api:\n    type: backend\n    language: go\n")
     assert store.read_project(str(tmp_path / "project.yaml")) == {"name": "x", "tags": ["a", "b"], "components": {"api": {"type": "backend", "language": "go"}}}
+
+
+def test_every_rule_has_a_name(spark):
+    from factweave.operators.rules import CATALOGUE, REPORTS, SYMBOL_REPORTS
+
+    f = spark.createDataFrame([("f.go", "defines", "f.go:A"), ("f.go", "defines", "f.go:B"), ("f.go:A", "calls", "f.go:B"), ("f.go:B", "calls", "f.go:A"), ("f.go:A", "has_impact_metric", "m"), ("m", "has_trend", "up"), ("m", "has_value", "3"), ("m", "has_timestamp", "t")], "s string, p string, o string")
+    r = Registry()
+    assert {c.name for c in CATALOGUE} >= set(REPORTS) | set(SYMBOL_REPORTS) and len({c.name for c in CATALOGUE}) == len(CATALOGUE)
+    assert rows(r.execute("impact_circular_dependency", f, {"symbol": "f.go:A"})) == [("f.go:A",), ("f.go:B",)] and rows(r.execute("impact_trend", f)) == [("f.go:A", "up")] and rows(r.execute("impact_metrics_history", f)) == [("f.go:A", "t", "3")]
+    assert rows(r.execute("impact_dependency_depth", f, {"symbol": "f.go:A"})) == [("f.go:A", 3), ("f.go:B", 2)] and r.execute("impact_remediation", f, {"symbol": "f.go:A"}).count() == 3 and r.execute("impact_dependency_graph", f, {"symbol": "f.go:A"}).count() == 4
+    assert r.execute("security_scan_file", f).count() == 0 and r.execute("quality_technical_debt", f).count() == 1
+    with pytest.raises(QueryError):
+        r.execute("impact_blast_radius", f)
+
+
+def test_kept_rows_age_and_are_few(spark):
+    from factweave.engine import RowCache
+
+    now = [0.0]
+    c = RowCache(300, 2, lambda: now[0])
+    made = []
+    make = lambda k: lambda: made.append(k) or spark.createDataFrame([(k,)], "k string")
+    first = c.get(("a",), make("a"))
+    assert c.get(("a",), make("a")) is first and made == ["a"]
+    now[0] = 301.0
+    assert c.get(("a",), make("a")) is not first
+    c.get(("b",), make("b"))
+    c.get(("c",), make("c"))
+    assert list(c.kept) == [("b",), ("c",)]
+    c.clear()
+    assert not c.kept
+
+
+def test_plans_have_a_breaker(spark):
+    f = spark.createDataFrame([("a", "calls", str(i)) for i in range(30)], "s string, p string, o string")
+    step = lambda: [agent.Step(1, "t", 'triples(?a, "calls", ?b)')]
+    assert agent.Plan(f, step(), most=10).execute()[0].error == "more than 10 rows" and agent.Plan(f, step(), most=30).execute()[0].status == "success" and agent.Plan(f, step(), seconds=None, most=None).execute()[0].status == "success"
+
+
+def test_one_turn_of_the_loop(spark):
+    f = spark.createDataFrame([(1, "f.go", "defines", "f.go:Run"), (1, "f.go:Run", "calls", "f.go:Go"), (1, "f.go:X", "calls", "f.go:Run")], SPO)
+    e = Engine(f)
+    turn = e.work("Who calls Run?")
+    assert turn.task == "resolve_symbol" and turn.names == ["Run"] and turn.attention[0][0] == "f.go:Run" and turn.refused is None and "f.go:X" in turn.outcome
+    assert e.work("please rm -rf everything", lambda t: "done").refused and e.work("list the api endpoints", lambda t: "done").task == "path_endpoints" and agent.task_of("hello") == "chat" and agent.task_of("any security problems?") == "security_audit"
+    assert e.ask("Who calls Run?")["total"] == 1
+
+
+def test_lookups(spark):
+    f = spark.createDataFrame([("a/x.go", "defines", "a/x.go:T.Run"), ("a/x.go:T.Run", "has_name", "Run"), ("b/y.go", "defines", "odd"), ("c/" + "z" * 60 + ".go:Run", "has_name", "Run")], "s string, p string, o string")
+    t = spark.createDataFrame([("q/w.go:F",), ("odd",), ("pkg.Run",), ("nowhere",), (None,)], "target string")
+    assert rows(filegraph.symbol_files(f, t)) == [("nowhere", None), ("odd", "b/y.go"), ("pkg.Run", "a/x.go"), ("q/w.go:F", "q/w.go")]
+    p = spark.createDataFrame([("proj/a/b",), ("host/proj/c",), ("host/x/proj",), ("fmt",), ("projx",)], "p string")
+    assert [r[0] for r in p.select(filegraph.project_file_of("p", "proj")).collect()] == ["a/b", "proj/c", "x/proj", "", "projx"]
+    n = spark.createDataFrame([("a.go:F",), ("b.go",), ("lib/c.go",)], "id string")
+    d = spark.createDataFrame([("a.go", "x"), ("b.go", "")], "doc_id string, content string")
+    assert rows(filegraph.internal_nodes(n, d, ("lib/",))) == [("a.go:F", True), ("b.go", False), ("lib/c.go", True)]
+    assert hydrate.context_text(F.lit("x")) is not None and len(spark.range(1).select(hydrate.context_text(F.repeat(F.lit("x"), 3000))).head()[0]) == 2000 + len("\n... (truncated)")
+
+
+def test_pages_and_newest(spark):
+    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(50)], "id string")
+    links = spark.createDataFrame([("n010", "n011", "r"), ("n001", "n040", "r")], "source string, target string, relation string")
+    a, la = filegraph.page(nodes, links, 10, 10)
+    b, lb = filegraph.page(nodes, links, 0, 10, after="n009")
+    assert rows(a) == rows(b) == [(f"n{i:03d}",) for i in range(10, 20)] and rows(la) == rows(lb) == [("n010", "n011", "r")]
+    f = spark.createDataFrame([(1, "s", "p", str(i), i % 7) for i in range(100)], "topic int, s string, p string, o string, at int")
+    kept = FactStore(f).retain("at", 20)
+    want = sorted(((-(i % 7), str(i)) for i in range(100)))[:20]
+    assert {r["o"] for r in kept.collect()} == {o for _, o in want}
+
+
+def test_signatures_and_documents(spark, tmp_path):
+    from factweave.sources.tree import documents_of_tree, extract, save_documents
+
+    files = spark.createDataFrame([("p/a.go", "package p\n\n// Run it.\nfunc (t *T) Run(m map[string]int) error {\n\treturn nil\n}\n"), ("p/b.py", "def f(a: dict = {'x': 1}) -> int:\n    return 1\n")], "path string, content string")
+    got = {r["id"]: r["signature"] for r in extract(files).where("what = 'symbol'").collect()}
+    assert got == {"p/a.go:T.Run": "func (t *T) Run(m map[string]int) error", "p/b.py:f": "def f(a: dict = {'x': 1}) -> int:"}
+    save_documents(documents_of_tree(extract(files), 3), str(tmp_path / "docs"))
+    assert spark.read.parquet(str(tmp_path / "docs")).where("topic = 3").count() == 4
